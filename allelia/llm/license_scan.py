@@ -166,15 +166,19 @@ class Scanner:
         found = []
         for t, (_, template, keys) in enumerate(self.items):
             places = [p for p, w in zip(own.tolist(), words) if w in keys]
-            for a, b, held in self.stretches(places, len(template), lo, hi):
+            todo = list(self.stretches(places, len(template), lo, hi))
+            need = -(-self.percent * len(template) // 100)
+            while todo:
+                a, b = todo.pop()
                 text = hashes[a:b].tolist()
                 # words that could be aligned at all
-                if 100 * sum((Counter(template) & Counter(text)).values()) < self.percent * len(template):
+                if b - a < need or sum((Counter(template) & Counter(text)).values()) < need:
                     continue
                 pairs = self.densest(align(template, text), len(template))
-                coverage = len(pairs) / len(template)
-                if 100 * len(pairs) >= self.percent * len(template):
-                    found.append((d, t, coverage, a + pairs[0][1] - lo, a + pairs[-1][1] + 1 - lo))
+                if len(pairs) >= need:
+                    first, end = a + pairs[0][1], a + pairs[-1][1] + 1
+                    found.append((d, t, len(pairs) / len(template), first - lo, end - lo))
+                    todo += [(a, first), (end, b)]  # what stands before and after may be another
         # of matches that overlap, of one template or several, the one that explains most stays
         found.sort(key=lambda x: (-x[2], -len(self.items[x[1]][1]), x[3], x[1]))
         kept: list[tuple] = []
@@ -189,7 +193,7 @@ class Scanner:
 
     @staticmethod
     def stretches(places: list[int], m: int, lo: int, hi: int):
-        """(start, end, number of key words) of the stretches of text worth aligning."""
+        """(start, end) of the stretches of text worth aligning."""
         k = 0
         while k < len(places):
             j = k
@@ -197,10 +201,10 @@ class Scanner:
                 j += 1
             a, b = max(lo, places[k] - m), min(hi, places[j] + m + 1)
             if b - a <= 5 * m + GAP:
-                yield a, b, j - k + 1
+                yield a, b
             else:  # windows of three templates, overlapping by two
                 for s in range(a, max(a + 1, b - 2 * m), m):
-                    yield s, min(b, s + 3 * m), j - k + 1
+                    yield s, min(b, s + 3 * m)
             k = j + 1
 
     @staticmethod
