@@ -160,6 +160,76 @@ class DenseOperator:
         return out.reshape(n, k) / max(self.m, 1)
 
 
+class LocalOperator:
+    """K B with the carriers in driver memory; for few carriers, where a job per product would cost more."""
+
+    def __init__(self, marker: np.ndarray, sample: np.ndarray, dosage: np.ndarray, f: np.ndarray, w: np.ndarray, n: int):
+        self.marker, self.sample, self.dosage, self.f, self.w, self.n = marker, sample, dosage, f, w, n
+
+    def __call__(self, block: np.ndarray) -> np.ndarray:
+        out = np.empty((self.n, block.shape[1]))
+        for k in range(block.shape[1]):
+            b = block[:, k]
+            u = self.w * (np.bincount(self.marker, self.dosage * b[self.sample], len(self.f)) - 2 * self.f * b.sum())
+            out[:, k] = np.bincount(self.sample, self.dosage * u[self.marker], self.n) - 2 * np.sum(self.f * u)
+        return out / max(1, len(self.f))
+
+
+#: Carriers that fit the driver: 24 bytes each.
+LOCAL_CELLS = 4_000_000
+
+
+def kinship_operator(g: DataFrame, sample_index: DataFrame, n: int, weights: DataFrame, local_cells: int = LOCAL_CELLS):
+    """The product with K: on the driver if the checked number of carriers is small, on executors otherwise."""
+    rows = g.join(sample_index.select("sample_id", "sample_idx"), "sample_id").join(weights, "marker_id")
+    if rows.count() > local_cells:
+        return DenseOperator(g, sample_index, n, weights)
+    x = rows.select("marker_id", "sample_idx", "dosage", "f", "w").toPandas().sort_values(["marker_id", "sample_idx"])
+    codes, first = np.unique(x.marker_id.to_numpy(), return_index=True)
+    f, w = x.f.to_numpy()[first], x.w.to_numpy()[first]
+    return LocalOperator(np.searchsorted(codes, x.marker_id.to_numpy()), x.sample_idx.to_numpy(), x.dosage.to_numpy(), f, w, n)
+
+
+class FamilySolver:
+    """Exact (tau1 K + tau0 / W)^-1 B for a sparse K whose related samples form small families: one dense
+    Cholesky factorisation a family, in place of iterations."""
+
+    def __init__(self, operator: SparseOperator, largest: int = 5000):
+        label = np.arange(operator.n)
+        while True:  # smallest label of the family
+            new = label.copy()
+            np.minimum.at(new, operator.row, label[operator.col])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        order = np.argsort(label, kind="stable")
+        cuts = np.flatnonzero(np.diff(label[order])) + 1
+        self.families = np.split(order, cuts)
+        if max(map(len, self.families)) > largest:
+            raise ValueError("a family is too large to factorise; use conjugate gradients")
+        place = np.empty(operator.n, np.int64)
+        for family in self.families:
+            place[family] = np.arange(len(family))
+        by_family = np.argsort(label[operator.row], kind="stable")
+        groups = np.split(by_family, np.flatnonzero(np.diff(label[operator.row][by_family])) + 1)
+        self.blocks = {}
+        for cells in groups:
+            if len(cells):
+                family = label[operator.row[cells[0]]]
+                self.blocks[family] = place[operator.row[cells]], place[operator.col[cells]], operator.value[cells]
+        self.label = label
+
+    def __call__(self, tau: tuple[float, float], w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty_like(b)
+        for family in self.families:
+            m = np.diag(tau[0] / w[family])
+            if (block := self.blocks.get(self.label[family[0]])) is not None:
+                np.add.at(m, block[:2], tau[1] * block[2])
+            out[family] = np.linalg.solve(m, b[family])
+        return out
+
+
 class SparseOperator:
     """K B for a sparse K held as coordinate arrays on the driver (entries grow with related pairs only)."""
 

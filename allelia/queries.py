@@ -635,7 +635,7 @@ def fitted(p: Proxy, trait: str):
     s, x, y, idx = _model_inputs(p, trait)
     g = p.genotypes().join(idx.select("sample_id"), "sample_id", "left_semi")
     w = storage.saved(relationship.marker_weights(g, len(s)), "weights")
-    op = relationship.DenseOperator(g, idx, len(s), w)
+    op = relationship.kinship_operator(g, idx, len(s), w)
     d = relationship.diagonal_kinship(g, w, idx).join(idx, "sample_id").toPandas().sort_values("sample_idx").value.to_numpy()
     settings = nullmodel.Settings(n_vectors=10, cv_cutoff=1.0, max_iter=8)
     m = nullmodel.fit(op, d, x, y, s.sample_id.tolist(), trait, settings, time=s.time.to_numpy(float))
