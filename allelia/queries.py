@@ -388,10 +388,10 @@ def w8_k11_running_offsets(p):
     return A.running_offsets(p.markers().groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region", "n")
 
 
-@query("WITH v AS (SELECT region, mask, max_maf, CASE WHEN max_maf < 0.01 THEN count(*) END AS value FROM members GROUP BY 1, 2, 3), result AS (SELECT region, mask, max_maf, last_value(value IGNORE NULLS) OVER (PARTITION BY region, mask ORDER BY max_maf ROWS UNBOUNDED PRECEDING) AS value FROM v)", "max_maf")
+@query("WITH v AS (SELECT region, mask, max_maf, CASE WHEN max_maf < 0.01 THEN CAST(count(*) AS DOUBLE) END AS value FROM members GROUP BY 1, 2, 3), result AS (SELECT region, mask, max_maf, last_value(value IGNORE NULLS) OVER (PARTITION BY region, mask ORDER BY max_maf ROWS UNBOUNDED PRECEDING) AS value FROM v)", "max_maf value")
 def w9_carried_forward(p):
     v = members(p).groupBy("region", "mask", "max_maf").agg(F.count(F.lit(1)).alias("c"))
-    return A.carried_forward(v.select("region", "mask", "max_maf", F.when(F.col("max_maf") < 0.01, F.col("c")).alias("value")), "value")
+    return A.carried_forward(v.select("region", "mask", "max_maf", F.when(F.col("max_maf") < 0.01, F.col("c").cast("double")).alias("value")), "value")
 
 
 @query("SELECT marker_id, chrom, CAST(floor((row_number() OVER (PARTITION BY chrom ORDER BY pos, marker_id) - 1) / 15.0) AS BIGINT) AS chunk FROM markers")
@@ -708,8 +708,13 @@ def e1_gene_effects(p):
 
 @query()
 def g18_effective_size(p):
-    _, op, d, _, _, _ = fitted(p, "quantitative")
-    return p.spark.createDataFrame([(float(nullmodel.effective_size(op, d)),)], "n_eff double")
+    """Of the first samples, with their sparse relationship matrix (a centred dense one is singular along 1)."""
+    s = p.samples().select("sample_id").where(f"sample_id <= {_THIN}").toPandas().sort_values("sample_id")
+    idx = p.spark.createDataFrame([(int(i), k) for k, i in enumerate(s.sample_id)], "sample_id long, sample_idx int")
+    g = p.genotypes().join(idx.select("sample_id"), "sample_id", "left_semi")
+    cells = joins.sample_pairs(relationship.sparse_relationship(g, idx, len(s), 0.125, 500), idx).toPandas()
+    op = relationship.SparseOperator(cells.row.to_numpy(), cells.col.to_numpy(), cells.value.to_numpy(), len(s))
+    return p.spark.createDataFrame([(float(nullmodel.effective_size(op, op.diagonal())),)], "n_eff double")
 
 
 @query()
