@@ -84,19 +84,25 @@ class Model:
         self.names, self.weights, self.bias = names, weights, bias
 
     @classmethod
-    def fit(cls, langs: list[str], rows: np.ndarray, landmarks: int, ridge: float = 1e-3) -> Model:
-        """rows: presence rows of the sample, ordered by a hash; the first ones of a language are its landmarks."""
+    def fit(cls, langs: list[str], packed: np.ndarray, landmarks: int, ridge: float = 1e-3) -> Model:
+        """packed: presence rows of the sample as bits, ordered by a hash; the first ones of a language are its
+        landmarks. Rows are unpacked 128 at a time."""
         names = sorted(set(langs))
         y = np.array([names.index(x) for x in langs], np.int64)
         if not names:
             return cls([], np.zeros((SLOTS, 0), np.float32), np.zeros(0))
         pick = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(names))])
-        unit = lambda x: x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        marks = unit(rows[pick].astype(np.float32))
+
+        def unit(bits: np.ndarray) -> np.ndarray:
+            x = np.unpackbits(bits, axis=1).astype(np.float32)
+            x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+            return x
+
+        marks = np.concatenate([unit(packed[pick[k : k + 128]]) for k in range(0, len(pick), 128)])
         value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        feature = np.concatenate([unit(rows[k : k + 256].astype(np.float32)) @ marks.T for k in range(0, len(rows), 256)]) @ root
+        feature = np.concatenate([unit(packed[k : k + 128]) @ marks.T for k in range(0, len(packed), 128)]) @ root
         target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
         # each language weighs the same
         weight = 1 / np.bincount(y)[y]
@@ -104,9 +110,9 @@ class Model:
         mean = (feature * weight[:, None]).mean(axis=0)
         bias = (target * weight[:, None]).mean(axis=0)
         z = feature - mean
-        gram = (z * weight[:, None]).T @ z + ridge * len(rows) * np.eye(z.shape[1])
+        gram = (z * weight[:, None]).T @ z + ridge * len(packed) * np.eye(z.shape[1])
         w = np.linalg.solve(gram, (z * weight[:, None]).T @ (target - bias))
-        return cls(names, (marks.T @ (root @ w)).astype(np.float32), bias - mean @ w)
+        return cls(names, marks.T @ (root @ w).astype(np.float32), bias - mean @ w)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         rows = presence(texts)
@@ -125,7 +131,7 @@ def fit(rows: DataFrame, per_language: int = 1000, landmarks: int = 64) -> Model
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
-        return Model.fit([], np.zeros((0, SLOTS), bool), landmarks)
+        return Model.fit([], np.zeros((0, SLOTS // 8), np.uint8), landmarks)
     scale = 1 << 30
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(scale))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, per_language * scale // n + 1))])
@@ -133,7 +139,7 @@ def fit(rows: DataFrame, per_language: int = 1000, landmarks: int = 64) -> Model
     got = sample.mapInArrow(sample_rows, "lang string, bits binary").collect()
     got = [r for r in got if any(r.bits)]
     got.sort(key=lambda r: hash_of(r.bits))
-    bits = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), SLOTS // 8), axis=1).astype(bool) if got else np.zeros((0, SLOTS), bool)
+    bits = np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), SLOTS // 8)
     return Model.fit([r["lang"] for r in got], bits, landmarks)
 
 
