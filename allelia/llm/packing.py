@@ -29,7 +29,7 @@ from allelia.llm import common as C
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TEXT_POINTS = 8_000_000
+TEXT_POINTS = 5_000_000
 
 
 class Tokenizer:
