@@ -618,13 +618,11 @@ def k1_m1_single_variant_results(p):
 
 
 # ---------------------------------------------------------------- models and vectorised tests (held against numpy in tests)
-_THIN = 400
-
-
 def _model_inputs(p: Proxy, trait: str):
-    """Samples in id order with covariates; a documented, bounded number of samples and markers for the
-    driver's vectors, which a production run has too (they grow with samples, not with markers)."""
-    s = p.samples().join(p.survival().select("sample_id", "time", "event"), "sample_id").where(f"sample_id <= {_THIN}").toPandas().sort_values("sample_id").reset_index(drop=True)
+    """All samples in id order with covariates (for survival, those that have a time): the driver's vectors
+    grow with samples, not with markers."""
+    s = p.samples().join(p.survival().select("sample_id", "time", "event"), "sample_id", "inner" if trait == "survival" else "left")
+    s = s.toPandas().sort_values("sample_id").reset_index(drop=True)
     x = np.column_stack([np.ones(len(s)), s.x1, s.x2])
     y = {"quantitative": (s.y - s.y.mean()) / s.y.std(), "binary": s.yb, "survival": s.event}[trait].to_numpy(float)
     idx = p.spark.createDataFrame([(int(i), k) for k, i in enumerate(s.sample_id)], "sample_id long, sample_idx int")
@@ -708,8 +706,8 @@ def e1_gene_effects(p):
 
 @query()
 def g18_effective_size(p):
-    """Of the first samples, with their sparse relationship matrix (a centred dense one is singular along 1)."""
-    s = p.samples().select("sample_id").where(f"sample_id <= {_THIN}").toPandas().sort_values("sample_id")
+    """Of all samples, with their sparse relationship matrix (a centred dense one is singular along 1)."""
+    s = p.samples().select("sample_id").toPandas().sort_values("sample_id")
     idx = p.spark.createDataFrame([(int(i), k) for k, i in enumerate(s.sample_id)], "sample_id long, sample_idx int")
     g = p.genotypes().join(idx.select("sample_id"), "sample_id", "left_semi")
     cells = joins.sample_pairs(relationship.sparse_relationship(g, idx, len(s), 0.125, 500), idx).toPandas()

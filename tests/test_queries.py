@@ -1,0 +1,23 @@
+"""Registered queries take in whole tables; what SQL covers of them is held against it."""
+
+import pytest
+
+from allelia import queries as Q
+from allelia.plans.relations import Proxy
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("trait", ["quantitative", "binary", "survival"])
+def test_models_take_in_all_samples(spark, trait):
+    p = Proxy(spark, SF)
+    s, x, y, idx = Q._model_inputs(p, trait)
+    want = p.samples() if trait != "survival" else p.samples().join(p.survival(), "sample_id", "left_semi")
+    ids = sorted(r.sample_id for r in want.select("sample_id").collect())
+    assert len(ids) > 400 and s.sample_id.tolist() == ids
+    assert len(x) == len(y) == idx.count() == len(ids)
+
+
+def test_effective_size_is_of_all_samples(spark):
+    n = Proxy(spark, SF).samples().count()
+    assert Q.queries()["g18_effective_size"](spark, SF).first().n_eff > n / 2 > 400
