@@ -42,16 +42,29 @@ def pair_kinship(g: DataFrame, weights: DataFrame, pairs: DataFrame | None = Non
     return out.select("i", "j", ((F.col("dot") - F.coalesce("si", zero) - F.coalesce("sj", zero) + F.col("c")) / F.col("m")).alias("value"))
 
 
-def screened_pairs(g: DataFrame, weights: DataFrame, n_markers: int, cutoff: float, seed: int = 1) -> DataFrame:
-    """Pairs whose kinship over a bounded number of random markers reaches the cutoff."""
+def screened_pairs(g: DataFrame, weights: DataFrame, n_markers: int, cutoff: float, seed: int = 1, samples: DataFrame | None = None) -> DataFrame:
+    """(i, j, value) of the pairs i < j whose kinship over a bounded number of random markers reaches the cutoff.
+
+    Pairs without a shared carrier have (C - s_i - s_j) / M; where C / M itself reaches the cutoff, those of
+    `samples` are looked at too.
+    """
     few = weights.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("marker_id").cast("string")))).limit(n_markers)
-    return pair_kinship(g, few).where((F.col("i") < F.col("j")) & (F.col("value") >= cutoff)).select("i", "j")
+    sharing = pair_kinship(g, few).where("i < j")
+    out = sharing.where(F.col("value") >= cutoff)
+    c, m = few.agg(F.sum(4 * F.col("w") * F.col("f") * F.col("f")), F.count(F.lit(1))).first()
+    if samples is None or not m or c / m < cutoff:
+        return out
+    own = g.join(few, "marker_id").groupBy("sample_id").agg(F.sum(2 * F.col("w") * F.col("f") * F.col("dosage")).alias("s"))
+    own = samples.select("sample_id").join(own, "sample_id", "left").fillna(0.0, ["s"])
+    si, sj = (own.select(F.col("sample_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ij")
+    apart = si.join(sj, (F.col("i") < F.col("j")) & ((c - F.col("si") - F.col("sj")) / m >= cutoff)).join(sharing, ["i", "j"], "left_anti")
+    return out.union(apart.select("i", "j", ((c - F.col("si") - F.col("sj")) / m).alias("value")))
 
 
 def sparse_relationship(g: DataFrame, samples: DataFrame, n_samples: int, cutoff: float = 0.125, n_markers: int = 2000) -> DataFrame:
     """Screen, refine over all markers, append the diagonal: both triangles of the sparse matrix."""
     w = marker_weights(g, n_samples)
-    pairs = pair_kinship(g, w, screened_pairs(g, w, n_markers, cutoff)).where(F.col("value") >= cutoff)
+    pairs = pair_kinship(g, w, screened_pairs(g, w, n_markers, cutoff, samples=samples)).where(F.col("value") >= cutoff)
     diagonal = diagonal_kinship(g, w, samples).select(F.col("sample_id").alias("i"), F.col("sample_id").alias("j"), "value")
     return pairs.union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")).union(diagonal)
 

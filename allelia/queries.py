@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,17 @@ def lines(p: Proxy, df: DataFrame, name: str) -> str:
     return path
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The key and its place from 0 in key order."""
+    return A.running_sum(df.select(key, F.lit(1).alias("one")), key, "one", "upto").select(key, (F.col("upto") - 1).alias(name))
+
+
+def carriers(p: Proxy, idx: DataFrame) -> DataFrame:
+    """(marker_id, idx, dos) of every marker, with empty lists where nobody carries it."""
+    x = p.genotypes().join(idx, "sample_id").groupBy("marker_id").agg(F.collect_list(F.struct("sample_idx", "dosage")).alias("x"))
+    return p.markers().select("marker_id").join(x, "marker_id", "left").select("marker_id", F.coalesce("x.sample_idx", F.array().cast("array<bigint>")).alias("idx"), F.coalesce("x.dosage", F.array().cast("array<double>")).alias("dos"))
+
+
 # ---------------------------------------------------------------- sources
 @query("SELECT CAST(chrom AS VARCHAR) AS chrom, 'm' || marker_id AS id, CAST(0 AS DOUBLE) AS cm, CAST(pos AS INTEGER) AS pos, 'G' AS a1, 'A' AS a2 FROM markers")
 def s1_bim_scan(p):
@@ -114,13 +126,23 @@ def s8_index_lookup(p):
 
 @query("SELECT sample_id % 50 AS sample_idx, chrom || ':' || pos || ':' || ref || ':' || alt AS marker_id, dosage FROM genotypes JOIN markers USING (marker_id) WHERE sample_id % 50 = sample_id AND marker_id <= 200")
 def s10_vcf_scan(p):
-    """Fifty samples and 200 markers as VCF lines: the feature is the reader, the lines are its test."""
-    n, m = 50, 200
-    g = p.genotypes().where((F.col("sample_id") < n) & (F.col("marker_id") <= m)).groupBy("marker_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "dosage"))).alias("d"))
-    call = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(F.try_element_at("d", k.cast("long")) == 2, "1/1:2").when(F.try_element_at("d", k.cast("long")) == 1, "0/1:1").otherwise("0/0:0"))
-    rows = p.markers().join(g, "marker_id").select(F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("R2=0.97"), F.lit("GT:DS"), F.concat_ws("\t", call)).alias("value"))
+    """All samples and markers as VCF lines, read again; sample_idx is the sample's id. The SQL has the rows of
+    the first fifty sample and 200 marker numbers."""
+    idx = numbered(p.samples(), "sample_id", "sample_idx")
+    n = idx.count()
+
+    def written(batches):
+        for b in batches:
+            for k, at, dos in zip(*(c.to_pylist() for c in b.columns)):
+                row = ["0/0:0"] * n
+                for i, d in zip(at, dos):
+                    row[i] = "1/1:2" if d == 2 else "0/1:1"
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array(["\t".join(row)])], names=["marker_id", "cells"])
+
+    cells = carriers(p, idx).mapInArrow(written, "marker_id long, cells string")
+    rows = p.markers().join(cells, "marker_id").select(F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("R2=0.97"), F.lit("GT:DS"), "cells").alias("value"))
     _, dosages = T.read_vcf(p.spark, lines(p, rows, "vcf"))
-    return dosages.select(F.col("column").cast("long").alias("sample_idx"), "marker_id", "dosage")
+    return dosages.join(idx, F.col("column") == F.col("sample_idx")).select(F.col("sample_id").alias("sample_idx"), "marker_id", "dosage")
 
 
 @query("SELECT marker_id, chrom, pos FROM markers WHERE chrom = 2 AND pos >= 100 AND pos <= 900")
@@ -478,26 +500,26 @@ def _weights(p: Proxy) -> tuple[DataFrame, DataFrame]:
     return g, relationship.marker_weights(g, p.samples().count())
 
 
+#: Of the screen and of the refined value, as in `relationship.sparse_relationship`.
+N_MARKERS, CUTOFF = 2000, 0.125
+
+
+def _screened(p: Proxy) -> tuple[DataFrame, DataFrame, DataFrame]:
+    g, w = _weights(p)
+    return g, w, relationship.screened_pairs(g, w, N_MARKERS, CUTOFF, samples=p.samples())
+
+
 @query(f"WITH {_FW}, s AS (SELECT sample_id, sum(2 * w * f * dosage) AS s FROM genotypes JOIN w USING (marker_id) GROUP BY 1), c AS (SELECT sum(4 * w * f * f) AS c, count(*) AS m FROM w), result AS (SELECT i, j, (dot - a.s - b.s + c) / m AS value FROM (SELECT a.sample_id AS i, b.sample_id AS j, sum(w * a.dosage * b.dosage) AS dot FROM genotypes a JOIN genotypes b USING (marker_id) JOIN w USING (marker_id) WHERE a.sample_id <= b.sample_id AND a.marker_id <= 100 AND a.sample_id % 10 = 0 AND b.sample_id % 10 = 0 GROUP BY 1, 2) JOIN s a ON a.sample_id = i JOIN s b ON b.sample_id = j CROSS JOIN c)", "value")
 def g6_j7_pair_screen(p):
-    g, w = _weights(p)
-    x = g.join(w, "marker_id")
-    few = g.where((F.col("marker_id") <= 100) & (F.col("sample_id") % 10 == 0))
-    s = x.groupBy("sample_id").agg(F.sum(2 * F.col("w") * F.col("f") * F.col("dosage")).alias("s"))
-    c = w.agg(F.sum(4 * F.col("w") * F.col("f") * F.col("f")).alias("c"), F.count(F.lit(1)).alias("m"))
-    a = few.join(w, "marker_id").select("marker_id", F.col("sample_id").alias("i"), (F.col("w") * F.col("dosage")).alias("wg"))
-    b = few.select("marker_id", F.col("sample_id").alias("j"), F.col("dosage").alias("gj"))
-    dot = a.join(b, "marker_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("wg") * F.col("gj")).alias("dot"))
-    y = dot.join(s.select(F.col("sample_id").alias("i"), F.col("s").alias("si")), "i").join(s.select(F.col("sample_id").alias("j"), F.col("s").alias("sj")), "j").crossJoin(F.broadcast(c))
-    return y.select("i", "j", ((F.col("dot") - F.col("si") - F.col("sj") + F.col("c")) / F.col("m")).alias("value"))
+    """All pairs that pass the screen, with its value. The SQL is of a tenth of the samples and is not this."""
+    return _screened(p)[2]
 
 
 @query(f"WITH {_FW}, s AS (SELECT sample_id, sum(2 * w * f * dosage) AS s FROM genotypes JOIN w USING (marker_id) GROUP BY 1), c AS (SELECT sum(4 * w * f * f) AS c, count(*) AS m FROM w), q AS (SELECT sample_id AS i, sample_id + 1 AS j FROM samples WHERE sample_id % 25 = 0 AND sample_id + 1 IN (SELECT sample_id FROM samples)), d AS (SELECT i, j, coalesce(sum(w * a.dosage * b.dosage), 0) AS dot FROM q LEFT JOIN (genotypes a JOIN w USING (marker_id)) ON a.sample_id = i LEFT JOIN genotypes b ON b.sample_id = j AND b.marker_id = a.marker_id GROUP BY 1, 2), result AS (SELECT i, j, (dot - coalesce(x.s, 0) - coalesce(y.s, 0) + c) / m AS value FROM d LEFT JOIN s x ON x.sample_id = i LEFT JOIN s y ON y.sample_id = j CROSS JOIN c)", "value")
 def g7_g8_refined_pairs(p):
-    g, w = _weights(p)
-    ids = p.samples().select("sample_id")
-    q = ids.where("sample_id % 25 = 0").select(F.col("sample_id").alias("i"), (F.col("sample_id") + 1).alias("j")).join(ids.select(F.col("sample_id").alias("j")), "j", "left_semi")
-    return relationship.pair_kinship(g, w, q)
+    """The pairs that pass the screen, over all markers. The SQL is of some neighbours by id and is not this."""
+    g, w, pairs = _screened(p)
+    return relationship.pair_kinship(g, w, pairs).where(F.col("value") >= CUTOFF)
 
 
 @query(f"WITH {_FW}, c AS (SELECT sum(4 * w * f * f) AS c, count(*) AS m FROM w), s AS (SELECT sample_id, sum(w * (dosage * dosage - 4 * f * dosage)) AS s FROM genotypes JOIN w USING (marker_id) GROUP BY 1), result AS (SELECT sample_id, (coalesce(s, 0) + c) / m AS value FROM samples LEFT JOIN s USING (sample_id) CROSS JOIN c)", "value")
@@ -715,16 +737,37 @@ def g18_effective_size(p):
     return p.spark.createDataFrame([(float(nullmodel.effective_size(op, op.diagonal())),)], "n_eff double")
 
 
+#: Packed calls in a bed file that a task writes.
+BED_BYTES = 4_000_000
+
+
 @query()
 def s3_bed_scan(p):
-    """Markers of a bed file: carriers and missing calls of a block made from the genotypes."""
-    rows = p.genotypes().where("sample_id < 200 and marker_id <= 100").collect()
-    block = np.zeros((101, 200), np.int8)
-    for r in rows:
-        block[r.marker_id, r.sample_id] = int(r.dosage)
-    content = p.spark.createDataFrame([("block", bytearray(GS.packed_bed(block)))], "path string, content binary")
-    batches = content.mapInArrow(lambda it: (GS._rows("block", 0, GS.unpacked_bed(d, 200)) for b in it for d in b.column(1).to_pylist()), GS.SPARSE)
-    return GS.long_form(batches)
+    """Carriers and missing calls of bed files that hold all samples and markers, by their ids."""
+    idx, place = numbered(p.samples(), "sample_id", "sample_idx"), numbered(p.markers(), "marker_id", "place")
+    n, path = idx.count(), storage.shared_dir(p.spark, "bed")
+    size = max(1, min(2000, BED_BYTES // max(1, -(-n // 4))))
+
+    def written(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for k, at, x in zip(*(c.to_pylist() for c in b.columns)):
+                block = np.zeros((max(at) + 1, n), np.int8)
+                for row, one in zip(at, x):
+                    block[row, one["idx"]] = one["dos"]
+                store, folder = fs.FileSystem.from_uri(path)
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/block-{k:09d}.bed") as out:
+                    out.write(GS.packed_bed(block))
+                yield pa.RecordBatch.from_arrays([pa.array([k])], names=["block"])
+
+    rows = carriers(p, idx).join(place, "marker_id").select((F.col("place") / size).cast("long").alias("block"), (F.col("place") % size).cast("int").alias("at"), F.struct("idx", "dos").alias("x"))
+    rows.groupBy("block").agg(F.collect_list("at"), F.collect_list("x")).mapInArrow(written, "block long").agg(F.count("block")).collect()
+    read = GS.read_bed(p.spark, path, n)
+    place_of = F.regexp_extract("file", r"block-(\d+)\.bed$", 1).cast("long") * size + F.col("marker_index")
+    calls = GS.long_form(read.withColumn("marker_index", place_of))
+    return calls.join(idx, "sample_idx").join(place, F.col("marker_index") == F.col("place")).select(F.col("marker_id").alias("marker_index"), F.col("sample_id").alias("sample_idx"), "dosage")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,6 @@
 """Registered queries take in whole tables; what SQL covers of them is held against it."""
 
+import numpy as np
 import pytest
 
 from allelia import queries as Q
@@ -21,3 +22,32 @@ def test_models_take_in_all_samples(spark, trait):
 def test_effective_size_is_of_all_samples(spark):
     n = Proxy(spark, SF).samples().count()
     assert Q.queries()["g18_effective_size"](spark, SF).first().n_eff > n / 2 > 400
+
+
+def test_pairs_are_of_all_samples(spark):
+    small = "/root/testdata/sf0.001"
+    p = Proxy(spark, small)
+    ids = sorted(r.sample_id for r in p.samples().collect())
+    markers = {k: i for i, k in enumerate(sorted(r.marker_id for r in p.markers().collect()))}
+    g = np.zeros((len(ids), len(markers)))
+    for r in p.genotypes().collect():
+        g[ids.index(r.sample_id), markers[r.marker_id]] = r.dosage
+    f = g.mean(0) / 2
+    z = ((g - 2 * f) / np.sqrt(2 * f * (1 - f)))[:, (f > 0) & (f < 1)]
+    k = z @ z.T / z.shape[1]
+    want = {(ids[i], ids[j]): k[i, j] for i in range(len(ids)) for j in range(i + 1, len(ids)) if k[i, j] >= Q.CUTOFF}
+    assert any(i % 10 or j % 10 for i, j in want)
+    for name in ("g6_j7_pair_screen", "g7_g8_refined_pairs"):  # fewer markers than the screen takes: both are exact
+        got = {(r.i, r.j): r.value for r in Q.queries()[name](spark, small).collect()}
+        assert got.keys() == want.keys() and all(abs(v - want[x]) < 1e-5 for x, v in got.items())
+
+
+def test_files_hold_all_genotypes(spark):
+    small = "/root/testdata/sf0.001"
+    p = Proxy(spark, small)
+    m = {r.marker_id: f"{r.chrom}:{r.pos}:{r.ref}:{r.alt}" for r in p.markers().collect()}
+    g = {(r.sample_id, r.marker_id): r.dosage for r in p.genotypes().collect()}
+    bed = [((r.sample_idx, r.marker_index), r.dosage) for r in Q.queries()["s3_bed_scan"](spark, small).collect()]
+    vcf = [((r.sample_idx, r.marker_id), r.dosage) for r in Q.queries()["s10_vcf_scan"](spark, small).collect()]
+    assert len(bed) == len(vcf) == len(g) and dict(bed) == g
+    assert dict(vcf) == {(s, m[k]): d for (s, k), d in g.items()}
