@@ -44,6 +44,9 @@ KIND = {c: k for k, x in enumerate(LETTERS) for c in x}
 GENDER_OF = {n: key for key, names in FIRST_NAMES.items() for n in names}
 
 _name = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_capitals = "".join(chr(c) for c in range(0x110000) if chr(c).isupper() and chr(c).isalpha())
+#: A name in upper or title case: a lower-case word behind a surname is running text, not a further name.
+_proper = rf"(?=[{_capitals}]){_name}"
 _first = "|".join(sorted(map(re.escape, GENDER_OF), key=len, reverse=True))
 _title = "|".join(re.escape(t) for v in TITLES.values() for t in sorted(v, key=len, reverse=True))
 PATTERNS = {
@@ -54,7 +57,7 @@ PATTERNS = {
     "key": r"(?i:(?<=token = \")|(?<=key = \")|(?<=secret = \")|(?<=password = \")|(?<=token=)|(?<=api_key=))[A-Za-z0-9_/+-]{16,}",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\w|-\w|\.\d)|(?<![\w.-])3[47]\d{13}(?!\w)",
-    "person": rf"\b(?:(?P<title>{_title})\.? +(?P<given>{_name} +)?(?P<family>{_name})|(?P<first>{_first}) +(?P<last>{_name}))\b",
+    "person": rf"\b(?:(?P<title>{_title})\.? +(?P<given>{_proper} +)?(?P<family>{_proper})|(?P<first>{_first}) +(?P<last>{_proper}))\b",
 }
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k not in ("card", "person")) + "|(?P<card>" + PATTERNS["card"].replace(r"\1", r"(?P=gap)").replace("([ -]?)", "(?P<gap>[ -]?)") + ")|(?P<person>" + PATTERNS["person"] + ")")
 #: A text without any of these holds no entity: a digit, an at sign or a name's beginning.
@@ -202,8 +205,6 @@ class Surrogates:
                 continue
             last = m["family"] or m["last"]
             given = (m["given"] or "").strip() or m["first"]
-            if not last[0].isupper() or (given and not given[0].isupper()):
-                continue
             if given:
                 at = m.start("given") if m["given"] else m.start("first")
                 found.append((at, at + len(given), "person", self.first(given)))

@@ -197,6 +197,17 @@ def test_surrogates_keep_type_format_and_coreference():
     assert pii.Surrogates(b"other").rewrite(text)[0] != new
 
 
+def test_titled_surnames_in_mid_sentence():
+    s = pii.Surrogates(b"key")
+    text = "Mr Smith went home, Dr. Jones said. Frau Österberg kam mit Herr Weber nach Bonn; Г-н Иванов пришёл. Mr Paul Brown left. Mr and Anna went, the dr was in."
+    new, spans = s.rewrite(text)
+    for gone in ("Smith", "Jones", "Österberg", "Weber", "Иванов", "Paul", "Brown"):
+        assert gone not in new
+    for stays in ("went home", "said", "kam mit", "nach Bonn", "пришёл", "left", "Mr and Anna went, the dr was in."):
+        assert stays in new
+    assert len(spans) == 7
+
+
 def test_permutations_are_bijections_without_fixed_points_when_small():
     s = pii.Surrogates(b"key")
     for size in (2, 10, 26, 1000):
