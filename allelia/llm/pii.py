@@ -5,7 +5,8 @@ of people) are replaced by keyed values of the same type, format, script and gen
 permutation of its original within the originals of the same format: digits of digits, vowels of vowels,
 first names within the names of that script and gender. So equal entities get equal surrogates everywhere
 (coreference, also of a surname alone), different ones get different ones without a table of entities,
-and no list grows with the corpus; `collisions` checks this over all documents.
+and no list grows with the corpus; `collisions` checks this over all documents, given names and surnames apart,
+and `checked` reports its result. A listed first name that is a known surname of its text is that surname after a title.
 
 Permutations of up to `SMALL` values are keyed single cycles, which leave nothing in its place, larger ones
 keyed Feistel networks. Null text stays null, empty text stays empty; texts without entities are not changed.
@@ -70,6 +71,14 @@ def valid_card(text: str) -> bool:
     return (sum(digits[::2]) + sum(2 * d - 9 * (d > 4) for d in digits[1::2])) % 10 == 0
 
 
+def listed(name: str) -> str | None:
+    """The first name of the lists that this is, as it is there or all in capitals."""
+    if name in GENDER_OF:
+        return name
+    low = name.capitalize()
+    return low if low in GENDER_OF and low.upper() == name else None
+
+
 class Surrogates:
     """Keyed, type-consistent permutations."""
 
@@ -137,12 +146,14 @@ class Surrogates:
         return "".join(out)
 
     def first(self, name: str) -> str:
-        key = GENDER_OF.get(name) or GENDER_OF.get(name.capitalize())
-        if key is None:
-            return self.shaped(name, "given")
-        names = FIRST_NAMES[key]
-        new = names[self.permuted(names.index(name if name in names else name.capitalize()), len(names), f"first/{key}")]
-        return new.upper() if name.isupper() and len(name) > 1 else new
+        if (known := listed(name)) is None:
+            new = self.shaped(name, "given")
+            while listed(new):  # walks on, so that no listed name's surrogate is met
+                new = self.shaped(new, "given")
+            return new
+        names = FIRST_NAMES[GENDER_OF[known]]
+        new = names[self.permuted(names.index(known), len(names), f"first/{GENDER_OF[known]}")]
+        return new if name == known else new.upper()
 
     def family(self, name: str) -> str:
         return self.shaped(name, "family")
@@ -191,48 +202,52 @@ class Surrogates:
             return text[:2] + self.shaped(text[2:], "iban")
         return self.shaped(text, kind)
 
-    def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
-        """The text with surrogates, and (kind, start and length in the new text, surrogate)."""
+    def entities(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, kind, surrogate) in text order; names are of kind given or family."""
         if not HINT.search(text):
-            return text, []
-        found = []
+            return []
+        found, people = [], []
         families: set[str] = set()
         for m in ANY.finditer(text):
             kind = next(k for k in PATTERNS if m[k] is not None)
-            if kind != "person":
-                if kind != "card" or valid_card(m[kind]):
-                    found.append((m.start(), m.end(), kind, self.of(kind, m[kind])))
-                continue
+            if kind == "person":
+                people.append(m)
+                last = m["family"] or m["last"]
+                if m["given"] or m["first"] or listed(last) is None:
+                    families.add(last)
+            elif kind != "card" or valid_card(m[kind]):
+                found.append((m.start(), m.end(), kind, self.of(kind, m[kind])))
+        for m in people:
             last = m["family"] or m["last"]
             given = (m["given"] or "").strip() or m["first"]
             if given:
                 at = m.start("given") if m["given"] else m.start("first")
-                found.append((at, at + len(given), "person", self.first(given)))
+                found.append((at, at + len(given), "given", self.first(given)))
             at = m.start("family") if m["family"] else m.start("last")
-            if m["title"] and not given and last in GENDER_OF:
-                found.append((at, at + len(last), "person", self.first(last)))
+            if last in families:
+                found.append((at, at + len(last), "family", self.family(last)))
             else:
-                found.append((at, at + len(last), "person", self.family(last)))
-                families.add(last)
+                found.append((at, at + len(last), "given", self.first(last)))
         if families:
             taken = [(a, b) for a, b, *_ in found]
             for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(families, key=len, reverse=True))) + r")\b", text):
                 if not any(a < m.end() and m.start() < b for a, b in taken):
-                    found.append((m.start(), m.end(), "person", self.family(m[0])))
+                    found.append((m.start(), m.end(), "family", self.family(m[0])))
+        return sorted(found)
+
+    def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
+        """The text with surrogates, and (kind, start and length in the new text, surrogate)."""
         out, spans, at, size = [], [], 0, 0
-        for a, b, kind, new in sorted(found):
+        for a, b, kind, new in self.entities(text):
             out += [text[at:a], new]
             size += a - at
-            spans.append((kind, size, len(new), new))
+            spans.append(("person" if kind in ("given", "family") else kind, size, len(new), new))
             size, at = size + len(new), b
         return "".join(out) + text[at:], spans
 
 
-def surrogates(docs: DataFrame, key: str = "replace this key", originals: bool = False) -> DataFrame:
-    """doc_id, text with surrogates, n_entities, and the entities (kind, start, length, surrogate).
-
-    originals adds a keyed digest of what stood there, for `collisions`; never the original itself.
-    """
+def surrogates(docs: DataFrame, key: str = "replace this key") -> DataFrame:
+    """doc_id, text with surrogates, n_entities, and the entities (kind, start, length, surrogate)."""
     secret = key.encode()
 
     def run(batches):
@@ -251,7 +266,7 @@ def surrogates(docs: DataFrame, key: str = "replace this key", originals: bool =
 
 
 def entity_map(docs: DataFrame, key: str = "replace this key") -> DataFrame:
-    """Distinct (kind, digest of the original, surrogate) over all documents."""
+    """Distinct (kind, digest of the original, surrogate) over all documents; names are of kind given or family."""
     secret = key.encode()
 
     def run(batches):
@@ -259,19 +274,27 @@ def entity_map(docs: DataFrame, key: str = "replace this key") -> DataFrame:
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
-                for m in ANY.finditer(t or ""):
-                    kind = next(k for k in PATTERNS if m[k] is not None)
-                    if kind != "person" and (kind != "card" or valid_card(m[kind])):
-                        x = m[kind].lower() if kind == "email" else m[kind]
-                        pair = (kind, hmac.new(secret, f"{kind}:{x}".encode(), hashlib.sha256).hexdigest(), own.of(kind, x))
-                        if pair not in seen:
-                            seen.add(pair)
-                            out.append(pair)
+                for start, end, kind, new in own.entities(t or ""):
+                    x = t[start:end]
+                    if kind == "email":
+                        x, new = x.lower(), new.lower()
+                    pair = (kind, hmac.new(secret, f"{kind}:{x}".encode(), hashlib.sha256).hexdigest(), new)
+                    if pair not in seen:
+                        seen.add(pair)
+                        out.append(pair)
+            if len(seen) > SMALL:
+                seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(3)], names=["kind", "digest", "surrogate"])
 
     return docs.select("text").mapInArrow(run, "kind string, digest string, surrogate string").distinct()
 
 
 def collisions(docs: DataFrame, key: str = "replace this key") -> DataFrame:
-    """Surrogates that stand for more than one original; none, by construction."""
+    """Surrogates that stand for more than one original of their kind."""
     return entity_map(docs, key).groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def checked(docs: DataFrame, key: str = "replace this key") -> DataFrame:
+    """`surrogates`, with the number of collisions over all documents in every row."""
+    found = collisions(docs, key).agg(F.count(F.lit(1)).alias("n_collisions"))
+    return surrogates(docs, key).crossJoin(F.broadcast(found))

@@ -208,6 +208,21 @@ def test_titled_surnames_in_mid_sentence():
     assert len(spans) == 7
 
 
+def test_given_names_are_one_injective_map():
+    s = pii.Surrogates(b"key")
+    short = [f"{a.upper()}{b}{c}" for a in "aeiou" for b in "bcdfghjklmnpqrstvwxyz" for c in "aeiou"]  # Ana, Ida, Eva, ...
+    names = {*short, *(x.upper() for x in short), *pii.GENDER_OF, *(x.upper() for x in pii.GENDER_OF), "AnnA", "eRIC"}
+    assert all(pii.listed(x) and pii.listed(x.upper()) for x in pii.GENDER_OF)
+    for key in (b"key", b"other", b"third"):
+        assert len({pii.Surrogates(key).first(x) for x in names}) == len(names)
+
+
+@pytest.mark.parametrize("text", ["John James came. Mr James left.", "Mr James left. John James came."])
+def test_a_known_surname_wins_over_the_first_names(text):
+    spans = pii.Surrogates(b"key").rewrite(text)[1]
+    assert len(spans) == 3 and len({x[3] for x in spans}) == 2
+
+
 def test_permutations_are_bijections_without_fixed_points_when_small():
     s = pii.Surrogates(b"key")
     for size in (2, 10, 26, 1000):

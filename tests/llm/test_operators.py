@@ -118,6 +118,16 @@ def test_surrogates_and_their_distinctness(spark):
     assert pii.collisions(frame(spark, texts), "k").count() == 0
 
 
+def test_collisions_of_names_are_found_and_reported(spark, monkeypatch):
+    docs = frame(spark, [None, "", "Dr Ida Brown met Anna Miller.", "Dr Ana White said so, and Mr Green went."])
+    assert {r.kind for r in pii.entity_map(docs, "k").collect()} == {"given", "family"}
+    assert pii.entity_map(docs, "k").count() == 7 and pii.collisions(docs, "k").count() == 0
+    got = pii.checked(docs, "k")
+    assert got.drop("n_collisions").collect() == pii.surrogates(docs, "k").collect() and {r.n_collisions for r in got.collect()} == {0}
+    monkeypatch.setattr(pii, "collisions", lambda docs, key: docs.limit(2))
+    assert {r.n_collisions for r in pii.checked(docs, "k").collect()} == {2}
+
+
 def test_encoding_round_trip(spark):
     texts = [*EDGE, "日本語 \U0001f600\n\n  tab\t"]
     rows = {r.doc_id: r for r in sentencepiece.encode(frame(spark, texts), keep_text=True).collect()}
