@@ -139,7 +139,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.
     """Per text its sorted distinct shingles of `width` words; with fewer words the whole sequence as one."""
     n = len(hashes)
     rolled = np.zeros(max(n - width + 1, 0), np.uint64)
-    for k in range(width):
+    for k in range(width if n >= width else 0):
         rolled += hashes[k : n - width + 1 + k] * LANE[k]
     rolled = mix(rolled)
     for lo, hi in zip(bounds[:-1], bounds[1:]):

@@ -223,6 +223,17 @@ def test_a_known_surname_wins_over_the_first_names(text):
     assert len(spans) == 3 and len({x[3] for x in spans}) == 2
 
 
+@pytest.mark.parametrize("width", [4, 5])
+@pytest.mark.parametrize("n", range(7))
+def test_shingles_of_short_blocks(width, n):
+    alone = [list(C.shingles(*C.word_hashes(np.frombuffer(x, np.uint8), np.array([0, len(x)], np.int64)), width))[0] for x in (b" ".join(b"w%d" % k for k in range(n)), b"")]
+    assert len(alone[0]) == (max(1, n - width + 1) if n else 0) and not len(alone[1])
+    both = b" ".join(b"w%d" % k for k in range(n)) + b"a b c d e f g h"
+    cut = len(both) - len(b"a b c d e f g h")
+    hashes, bounds = C.word_hashes(np.frombuffer(both, np.uint8), np.array([0, cut, len(both)], np.int64))
+    assert (next(iter(C.shingles(hashes, bounds, width))) == alone[0]).all()
+
+
 def test_permutations_are_bijections_without_fixed_points_when_small():
     s = pii.Surrogates(b"key")
     for size in (2, 10, 26, 1000):

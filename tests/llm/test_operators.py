@@ -65,6 +65,10 @@ def test_jaccard_join_keeps_one_of_each_component(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == frame(spark, []).columns
 
 
+def test_near_copies_of_one_short_text(spark):
+    assert [r.doc_id for r in jaccard_join.keep_one(frame(spark, ["only three words"])).collect()] == [0]
+
+
 def test_jaccard_join_of_an_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).collect() == []
 
