@@ -9,7 +9,7 @@ and weights, which are multiplied out beforehand.
 
 Fitting takes a documented, bounded sample (`per_language` rows a language, drawn by a hash of doc_id)
 of the rows it may learn from; prediction reads every whole text. A text that is null or has no letter
-is `und` with score 0. At most `MAX_LANGUAGES` languages, the most frequent, are learned.
+is `und` with score 0. Every language of the rows is learned.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from allelia.llm import common as C
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
 ORDERS = (2, 3, 4)
-MAX_LANGUAGES = 64
 ROWS_AT_ONCE = 64
 _fold: list[np.ndarray] = []
 
@@ -88,7 +87,8 @@ class Model:
         """packed: presence rows of the sample as bits, ordered by a hash; the first ones of a language are its
         landmarks. Rows are unpacked 128 at a time."""
         names = sorted(set(langs))
-        y = np.array([names.index(x) for x in langs], np.int64)
+        at = {x: k for k, x in enumerate(names)}
+        y = np.array([at[x] for x in langs], np.int64)
         if not names:
             return cls([], np.zeros((SLOTS, 0), np.float32), np.zeros(0))
         pick = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(names))])
@@ -98,21 +98,39 @@ class Model:
             x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
             return x
 
-        marks = np.concatenate([unit(packed[pick[k : k + 128]]) for k in range(0, len(pick), 128)])
-        value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        # landmarks and rows are unpacked in turn: whole are only numbers of landmarks times landmarks
+        marks = [pick[k : k + 512] for k in range(0, len(pick), 512)]
+        blocks = [slice(k, k + 512) for k in range(0, len(packed), 512)]
+
+        def products(bits: np.ndarray) -> np.ndarray:
+            out = np.empty((len(bits), len(pick)))
+            for m, part in enumerate(marks):
+                own = unit(packed[part]).T
+                for k in range(0, len(bits), 128):
+                    out[k : k + 128, m * 512 : m * 512 + len(part)] = unit(bits[k : k + 128]) @ own
+            return out
+
+        value, vector = np.linalg.eigh(np.concatenate([products(packed[part]) for part in marks]))
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        feature = np.concatenate([unit(packed[k : k + 128]) @ marks.T for k in range(0, len(packed), 128)]) @ root
-        target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
         # each language weighs the same
         weight = 1 / np.bincount(y)[y]
         weight = weight / weight.mean()
-        mean = (feature * weight[:, None]).mean(axis=0)
-        bias = (target * weight[:, None]).mean(axis=0)
-        z = feature - mean
-        gram = (z * weight[:, None]).T @ z + ridge * len(packed) * np.eye(z.shape[1])
-        w = np.linalg.solve(gram, (z * weight[:, None]).T @ (target - bias))
-        return cls(names, marks.T @ (root @ w).astype(np.float32), bias - mean @ w)
+        bias = np.array([2 * weight[y == k].sum() for k in range(len(names))]) / len(packed) - 1
+        mean, gram, side = np.zeros(root.shape[1]), np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(names)))
+        for rows in blocks:
+            feature = products(packed[rows]) @ root
+            weighed = feature * weight[rows, None]
+            mean += weighed.sum(axis=0) / len(packed)
+            gram += weighed.T @ feature
+            side += weighed.T @ (np.where(y[rows, None] == np.arange(len(names)), 1.0, -1.0) - bias)
+        gram += ridge * len(packed) * np.eye(len(gram)) - len(packed) * np.outer(mean, mean)
+        w = np.linalg.solve(gram, side)
+        mixed, weights = (root @ w).astype(np.float32), np.zeros((SLOTS, len(names)), np.float32)
+        for m, part in enumerate(marks):
+            for k in range(0, len(part), 128):
+                weights += unit(packed[part[k : k + 128]]).T @ mixed[m * 512 + k : m * 512 + min(k + 128, len(part))]
+        return cls(names, weights, bias - mean @ w)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         rows = presence(texts)
@@ -129,7 +147,7 @@ class Model:
 def fit(rows: DataFrame, per_language: int = 1000, landmarks: int = 64) -> Model:
     """Learn from (doc_id, lang, text) rows; those with null lang or text are no examples."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model.fit([], np.zeros((0, SLOTS // 8), np.uint8), landmarks)
     scale = 1 << 30

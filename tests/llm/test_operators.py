@@ -132,6 +132,17 @@ def test_collisions_of_names_are_found_and_reported(spark, monkeypatch):
     assert {r.n_collisions for r in pii.checked(docs, "k").collect()} == {2}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(rng.choices(words[x], k=30)), x) for k, x in enumerate(words) for i in range(2 if k == 69 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.names == sorted(words)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert all(got[i].lang_pred == x and got[i].score > 0.3 for i, _, x in rows)
+
+
 def test_encoding_round_trip(spark):
     texts = [*EDGE, "日本語 \U0001f600\n\n  tab\t"]
     rows = {r.doc_id: r for r in sentencepiece.encode(frame(spark, texts), keep_text=True).collect()}
