@@ -1,6 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are sequences of words (letters and digits, lower case). An item of m words may
+Texts and test items are sequences of words (letters, their marks and digits of any script, NFC and case-folded);
+a character of a script that is written without spaces is a word of its own, invisible format characters are
+none. An item of m words may
 differ from a passage by k = floor((100 - percent) * m / 100) word edits. It is cut into k + 1 pieces:
 k edits leave at least one piece untouched, so every passage within the budget holds some piece as it
 is. Piece hits are found over whole texts by hashed windows, and each hit is verified with Myers'
@@ -13,6 +15,8 @@ Items go to the executors in blocks of `BLOCK` items, whatever their number.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -39,11 +43,57 @@ def spaced(raw: np.ndarray) -> np.ndarray:
     return np.where(LETTER[raw], C.LOWER[raw], np.uint8(32))
 
 
+# Blocks of scripts written without spaces between words.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFD)]
+GAP, INNER, OWN, NONE = range(4)
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """Per code point: between words, part of a word, a word of its own, or as if it weren't there."""
+    table = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LMN":
+            table[c] = INNER
+        elif kind == "Cf" and c != 0x200B:
+            table[c] = NONE
+    for lo, hi in UNSPACED:
+        table[lo : hi + 1][table[lo : hi + 1] == INNER] = OWN
+    table[[*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]] = NONE
+    return table
+
+
+def folded(text: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+
+
+def text_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and per text the range of its words."""
+    if not len(raw) or raw.max() < 128:
+        return C.word_hashes(spaced(raw), offsets)
+    data = raw.tobytes()
+    rows = [folded(data[a:b].decode(errors="replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    code = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+    cuts = np.cumsum([0, *map(len, rows)])
+    kind = kinds()[code]
+    there = kind != NONE
+    cuts = np.append(0, np.cumsum(there))[cuts]
+    code, kind = code[there], kind[there]
+    apart = np.ones(len(code) + 1, bool)  # whether a word ends before this character if there is one
+    apart[1:-1] = (kind[1:] != INNER) | (kind[:-1] != INNER)
+    apart[cuts] = True
+    inside = kind != GAP
+    starts, ends = np.flatnonzero(inside & apart[:-1]), np.flatnonzero(inside & apart[1:]) + 1
+    values = np.where(code < 128, C.BYTE_VALUE[np.minimum(code, 127)], C.mix(code.astype(np.uint64) + C.BASE))
+    return C.span_hashes(values, starts, ends), np.searchsorted(starts, cuts)
+
+
 def item_words(text: str | None) -> np.ndarray:
-    raw = spaced(np.frombuffer((text or "").encode(), np.uint8))
+    raw = np.frombuffer((text or "").encode(errors="replace"), np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
-    return C.word_hashes(raw, np.array([0, len(raw)], np.int64))[0]
+    return text_words(raw, np.array([0, len(raw)], np.int64))[0]
 
 
 def pieces(m: int, percent: int, exact_below: int) -> tuple[int, list[tuple[int, int]]]:
@@ -147,9 +197,9 @@ def scan(shared, percent: int, exact_below: int):
             ids = b.column(0).to_pylist()
             out = []
             for lo, hi in C.blocks(off):
-                part = spaced(raw[off[lo] : off[hi]])
+                part = raw[off[lo] : off[hi]]
                 if len(part):
-                    hashes, bounds = C.word_hashes(part, off[lo : hi + 1] - off[lo])
+                    hashes, bounds = text_words(part, off[lo : hi + 1] - off[lo])
                     for d, item, distance, first, end in matcher.hits(hashes, bounds):
                         out.append((ids[lo + d], matcher.items[item][0], distance, len(matcher.items[item][1]), first, end))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 6)], names=["doc_id", "item_id", "distance", "n_words", "first_word", "end_word"])

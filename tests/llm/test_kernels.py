@@ -234,6 +234,14 @@ def test_shingles_of_short_blocks(width, n):
     assert (next(iter(C.shingles(hashes, bounds, width))) == alone[0]).all()
 
 
+def test_words_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["a b", "", "Été\u00ad 日本 x1", "\u0301", "c", "plain words, here", "ß\U0001f600", "日"]
+    raw, off = C.text_buffers(pa.array(texts))
+    hashes, bounds = decontaminate.text_words(raw, off)
+    assert [hashes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [decontaminate.item_words(t).tolist() for t in texts]
+    assert np.diff(bounds).tolist() == [2, 0, 4, 1, 1, 3, 1, 1]
+
+
 def test_permutations_are_bijections_without_fixed_points_when_small():
     s = pii.Surrogates(b"key")
     for size in (2, 10, 26, 1000):

@@ -108,6 +108,24 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, texts), items.limit(0)).collect() == []
 
 
+def test_decontamination_of_other_scripts(spark):
+    zh, th = "第二次世界大战是在哪一年结束的请回答", "ประเทศไทยมีเมืองหลวงชื่อว่าอะไร"
+    quoted = "it's the \"ÉTÉ\" of the year - so we don't ask the STRASSE why"
+    items = spark.createDataFrame([(1, zh), (2, th), (3, quoted), (4, "наука и жизнь в новом веке"), (5, "ideia única são três")], "item_id long, text string")
+    texts = [
+        "他问道" + zh + "。然后他走了",
+        "他问道" + zh.replace("哪一年", "何年") + "。然后",
+        "เขาถามว่า" + th + "แล้วเดินไป",
+        "He wrote: it’s the “été” of the\u00a0year — so we don’t ask the straße why…",
+        "Вот НАУКА И ЖИЗНЬ, В НОВОМ ВЕКЕ",
+        "x IDEIA U\u0301NICA SA\u0303O\u200b TRÊS!",
+        "他说今天天气很好。我们去公园",
+        "the summer of the year",
+    ]
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(frame(spark, texts), items).collect()}
+    assert got == {(0, 1): 0, (1, 1): 2, (2, 2): 0, (3, 3): 0, (4, 4): 0, (5, 5): 0}
+
+
 def test_license_scan(spark):
     got = license_scan.scan(frame(spark, [*EDGE, LONG + " Released under the MIT License. " + LONG])).collect()
     assert [(r.doc_id, r.license, r.coverage) for r in got] == [(len(EDGE), "MIT", 1.0)]
