@@ -7,6 +7,8 @@ time (a single longer text makes a block of its own).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -38,7 +40,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `saved` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(run):
+    """A mapInArrow function that gives memory back when its task ends: workers live on for other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def remainder(column: str, modulus: int):
@@ -185,7 +218,7 @@ def add_slices(slot_bytes: str, many: str = "sum"):
 
 def gathered(slices: DataFrame, slot_bytes: str, many: str, slots: int, out: str) -> np.ndarray:
     """One table of `slots` counters (a bound that does not depend on the data) on the driver."""
-    done = slices.repartition(F.col("slice")).mapInArrow(add_slices(slot_bytes, many), "slice int, blob binary")
+    done = slices.repartition(F.col("slice")).mapInArrow(released(add_slices(slot_bytes, many)), "slice int, blob binary")
     whole = np.zeros(slots, out)
     size = slots // SLICES
     for row in done.toLocalIterator():
@@ -195,21 +228,44 @@ def gathered(slices: DataFrame, slot_bytes: str, many: str, slots: int, out: str
 
 
 # ---------------------------------------------------------------- connected components
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of (a, b): smallest node id that links reach.
 
     Hash-to-min with pointer jumping; every round is written to the shared folder, and the
-    number of rounds grows with the logarithm of the longest chain.
+    number of rounds grows with the logarithm of the longest chain. Labels only ever fall, so it ends.
     """
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "label")
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
         nxt = saved(step.join(up, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "was"), "label")
         moved = nxt.where("root <> was").limit(1).count()
+        discard(label)
         label = nxt.select("node", "root")
+        label._saved = nxt._saved
         if not moved:
+            discard(both)
             return label
-    raise RuntimeError("components did not settle")
+
+
+# ---------------------------------------------------------------- decisions on rows
+def decided(docs: DataFrame, rows: DataFrame, mark) -> DataFrame:
+    """The rows of docs that a decision lets stay, whole.
+
+    `rows` has (doc_id, mark, first, copies): rows of that doc_id and mark go unless `first`, and of `copies`
+    that cannot be told apart by these one stays (the least by all its columns). What it doesn't name stays.
+    """
+    columns = docs.columns
+    at = "allelia mark"
+    marked = docs.withColumn(at, mark)
+    same = lambda r: r["doc_id"].eqNullSafe(marked["doc_id"].cast("long")) & (r["mark"] == marked[at])
+    gone = rows.where("not first or copies > 1").select("doc_id", "mark")
+    out = marked.join(gone, same(gone), "left_anti").select(columns)
+    again = rows.where("first and copies > 1").select("doc_id", "mark")
+    if again.limit(1).count():
+        again = marked.join(again, same(again), "left_semi")
+        one = again.groupBy(F.col("doc_id").alias("i"), at).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
+        out = out.union(one.select([F.col("row")[c].alias(c) for c in columns]))
+    return out

@@ -35,13 +35,36 @@ def test_blocks_cover_all_rows_and_long_texts_stand_alone():
     assert [r for lo, hi in C.blocks(off) for r in range(lo, hi)] == [0, 1, 2, 3]
 
 
-def test_parity_bits_never_exceed_the_difference():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
-        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
-        apart = jaccard_join.differing_bits(*(np.frombuffer(jaccard_join.parity_bits(x), np.uint8) for x in (a, b)))
-        assert apart <= len(np.setxor1d(a, b))
+def linked_sets(seed, percent, n_pairs=300, largest=400):
+    rng = np.random.default_rng(seed)
+    for _ in range(n_pairs):
+        n = int(rng.integers(1, largest))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        edit = int(len(a) * rng.uniform(0, 1.2 - percent / 100))
+        b = np.unique(np.concatenate([a[: len(a) - edit], rng.integers(0, 2**63, int(edit * rng.uniform(0, 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+            yield (a, b) if len(a) <= len(b) else (b, a)
+
+
+@pytest.mark.parametrize("edges", [[256, 256], [100, 180], [0, 256], [0, 0]])
+@pytest.mark.parametrize("percent", [30, 80, 85])
+def test_linked_sets_share_an_entry_whose_places_their_losses_allow(edges, percent):
+    rank = lambda s: (C.mix(s) % np.uint64(200)).astype(np.uint8)
+    for a, b in linked_sets(5, percent):
+        n, m = len(a), len(b)
+        most = -(-percent * (n + m) // (100 + percent))  # shingles that they share at least
+        own = [dict(zip(*(x.tolist() for x in jaccard_join.entries(s, rank(s), np.array(edges), percent)))) for s in (a, b)]
+        assert any(q <= n - most and own[1].get(sig, n + m) <= m - most for sig, q in own[0].items()), (n, m)
+
+
+def test_frequent_shingles_are_indexed_in_combinations():
+    s = np.unique(np.random.default_rng(2).integers(0, 2**63, 200, dtype=np.uint64))
+    edges, percent = np.array([100, 180]), 85
+    singles = set(C.mix(s ^ C.LANE[8]).tolist())
+    for level, width in ((50, 1), (120, 2), (200, 3)):
+        sig, place = jaccard_join.entries(s, np.full(len(s), level, np.uint8), edges, percent)
+        assert (width == 1) == bool(singles & set(sig.tolist())) and len(sig) >= 31 and place.max() <= 30
 
 
 @pytest.mark.parametrize("edges", [[256, 256], [0, 256], [0, 0]])

@@ -65,6 +65,37 @@ def test_jaccard_join_keeps_one_of_each_component(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == frame(spark, []).columns
 
 
+def test_near_copies_in_blocks_and_by_salted_centres(spark, monkeypatch):
+    """A group whose sets mostly do not link with its centres, compared in many small blocks."""
+    monkeypatch.setattr(jaccard_join, "CELLS", 200)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for j in rng.sample(range(90), rng.choice([1, 2, 4, 5, 6])):
+            own[j] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(own[: 90 - k % 4]))
+    got = jaccard_join.jaccard_components(frame(spark, texts).repartition(3), width=4, percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, 4, 85)
+
+
+def test_frequent_shingles_of_a_table_are_of_higher_classes():
+    import numpy as np
+
+    rank, edges = jaccard_join.ranks_and_classes(np.array([1] * 1000 + [40, 400], "int32"))
+    assert rank[0] < edges[0] <= rank[1000] < edges[1] <= rank[1001]
+
+
+def test_near_copies_of_rows_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    texts, ids = [a, a + " end", b, b, c, c, c, None, None, "", a], [1, 2, 2, 2, None, None, 9, 4, None, 4, 1]
+    kept = jaccard_join.keep_one(frame(spark, texts, ids))
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", a), ("2", b), ("9", c), ("4", ""), ("None", ""), ("4", "")])
+    kept = jaccard_join.keep_one(frame(spark, [c, c, c + " end"], [None, None, None]))
+    assert kept.count() == 1
+
+
 def test_near_copies_of_one_short_text(spark):
     assert [r.doc_id for r in jaccard_join.keep_one(frame(spark, ["only three words"])).collect()] == [0]
 
