@@ -35,6 +35,17 @@ def test_blocks_cover_all_rows_and_long_texts_stand_alone():
     assert [r for lo, hi in C.blocks(off) for r in range(lo, hi)] == [0, 1, 2, 3]
 
 
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        x, y = (np.frombuffer(jaccard_join.parity_bits(s), np.uint64)[None] for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        apart = np.bitwise_count(jaccard_join.folded(x, width) ^ jaccard_join.folded(y, width)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def linked_sets(seed, percent, n_pairs=300, largest=400):
     rng = np.random.default_rng(seed)
     for _ in range(n_pairs):
