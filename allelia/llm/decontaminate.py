@@ -207,30 +207,47 @@ def scan(shared, percent: int, exact_below: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, exact_below: int = 5) -> DataFrame:
-    """A row per document and test item whose passage it holds within the budget, with the best passage."""
-    spark = docs.sparkSession
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def item_blocks(benchmark: DataFrame):
+    """Blocks of at most BLOCK (item_id, words) of the benchmark."""
     block: list[tuple[int, np.ndarray]] = []
-    parts = []
-
-    def close():
-        parts.append(small.mapInArrow(scan(spark.sparkContext.broadcast(list(block)), percent, exact_below), "doc_id long, item_id long, distance long, n_words long, first_word long, end_word long"))
-        block.clear()
-
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append((row.item_id, item_words(row.text)))
         if len(block) >= BLOCK:
-            close()
-    if block or not parts:
-        close()
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
+            yield block
+            block = []
+    yield block
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, exact_below: int = 5) -> DataFrame:
+    """A row per document and test item whose passage it holds within the budget, with the best passage."""
+    spark = docs.sparkSession
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for block in item_blocks(benchmark):
+        found = small.mapInArrow(C.released(scan(spark.sparkContext.broadcast(block), percent, exact_below)), "doc_id long, item_id long, distance long, n_words long, first_word long, end_word long")
+        out = found if out is None else out.union(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, exact_below: int = 5) -> DataFrame:
-    """The documents that hold no test item."""
-    gone = C.saved(contaminated(docs, benchmark, percent, exact_below).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows that hold no test item, each judged by its own text: repeated and null ids change nothing."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+
+    def without(shared):
+        def run(batches):
+            matcher = Matcher(shared.value, percent, exact_below)
+            for b in batches:
+                raw, off = C.text_buffers(b.column(at))
+                keep = np.ones(b.num_rows, bool)
+                for lo, hi in C.blocks(off):
+                    if off[hi] > off[lo]:
+                        for d, *_ in matcher.hits(*text_words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])):
+                            keep[lo + d] = False
+                yield b.filter(pa.array(keep))
+
+        return C.released(run)
+
+    out = docs
+    for block in item_blocks(benchmark):  # one scan: the blocks follow each other in a task
+        out = out.mapInArrow(without(spark.sparkContext.broadcast(block)), docs.schema)
+    return out

@@ -4,14 +4,16 @@
 * Directory: it starts with one bucket and doubles while a bucket holds more distinct keys than its
   capacity, up to 2**MAX_DEPTH slots (a bound that does not grow with the data; buckets that are
   still overfull then keep longer chains). Slot = leading key bits; several slots can share a bucket.
-* Owners: rows are dealt by (bucket, key, text), so an owner task has whole chains of a key range and
-  compares the bytes of all texts of a chain. Copies are combined before the shuffle, so a group that
-  holds a third of all rows is a few rows there.
+* Owners: texts are dealt by (bucket, key, text) and their bytes compared; copies are combined before the
+  shuffle, so a group that holds a third of all rows is a few rows there. The finished entries are then dealt
+  by ranges of (bucket, key), sorted, and written to the shared index, a file a range: an owner task has whole
+  chains of its key range.
 * Chains whose entries cannot be told apart without their bytes are resolved by joining on the bytes;
   all others by (key, SHA-256, length).
 
 Null text counts as empty. Of equal texts the row with the most code points in the original text, then
-the smallest doc_id stays. Repeated doc_ids are rows like any other.
+the smallest doc_id stays; `kept` says that a row has that id. Repeated doc_ids are rows like any other, an
+empty table gives an empty result, very long texts are compared whole, other columns are not touched.
 """
 
 from __future__ import annotations
@@ -55,7 +57,8 @@ def slot(key, depth: int):
 
 
 def exact_groups(docs: DataFrame, capacity: int = 4096, depth: int = MAX_DEPTH, key_bits: int = 64, sha_hex: int = 64) -> DataFrame:
-    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket.
+    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, and for drop_copies row_mark (a hash
+    of the original text) and first (whether a row of that doc_id and text stays).
 
     key_bits and sha_hex weaken the hashes, so that tests can make every chain collide.
     """
@@ -73,6 +76,7 @@ def exact_groups(docs: DataFrame, capacity: int = 4096, depth: int = MAX_DEPTH,
             F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
             F.octet_length("norm").alias("n_bytes"),
             F.char_length("text").cast("long").alias("n_points"),
+            F.xxhash64("text").alias("row_mark"),
         ),
         "entries",
     )
@@ -89,24 +93,30 @@ def exact_groups(docs: DataFrame, capacity: int = 4096, depth: int = MAX_DEPTH,
     chains = chains.select("bucket", "key", weak.alias("mark"), F.octet_length("norm").alias("n_bytes"), F.hash("norm").alias("h"), "n")
     index = C.saved(chains.groupBy("bucket", *mark).agg(F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("links")).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
 
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("back"))).alias("best")
+    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("back"), "row_mark")).alias("best")
     plain = entries.groupBy(*mark).agg(best)
-    heads = index.join(plain, mark).where("links = 1").select(*mark, "bucket", "group_size", (-F.col("best.back")).alias("keep_id"))
+    heads = index.join(plain, mark).where("links = 1").select(*mark, "bucket", "group_size", "best")
     out = entries.join(heads, mark)
     # every row of a chain that needs its bytes: normally there is none
     unclear = index.where("links > 1").select("bucket", *mark)
     if unclear.limit(1).count():
-        full = rows.select("doc_id", "key", "norm", weak.alias("mark"), F.octet_length("norm").alias("n_bytes"), F.char_length("text").cast("long").alias("n_points"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+        full = rows.select("doc_id", "key", "norm", weak.alias("mark"), F.octet_length("norm").alias("n_bytes"), F.char_length("text").cast("long").alias("n_points"), F.xxhash64("text").alias("row_mark"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
         full = full.join(unclear, mark)
         group = full.groupBy(*mark, "norm").agg(best, F.count(F.lit(1)).alias("group_size"))
-        group = group.select(*mark, "norm", "group_size", (-F.col("best.back")).alias("keep_id"))
         more = full.join(group, [*mark, "norm"])
-        columns = ["doc_id", "keep_id", "group_size", "sha", "bucket"]
+        columns = ["doc_id", "best", "group_size", "sha", "bucket", "n_points", "row_mark"]
         out = out.select(columns).union(more.select(columns))
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket")
+    keep_id = -F.col("best.back")
+    first = (F.col("n_points") == F.col("best.n_points")) & F.col("doc_id").eqNullSafe(keep_id) & (F.col("row_mark") == F.col("best.row_mark"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "row_mark", first.alias("first"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, whole."""
-    gone = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of every group of equal texts, whole.
+
+    Rows are told apart by doc_id and original text, so a row that shares its id with a copy stays. Null ids come
+    last; of rows with the same id and text one stays.
+    """
+    rows = exact_groups(docs).where("group_size > 1").groupBy("doc_id", F.col("row_mark").alias("mark"))
+    found = C.saved(rows.agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("copies")), "decided")
+    return C.decided(docs, found, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))

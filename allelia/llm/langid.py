@@ -154,7 +154,7 @@ def fit(rows: DataFrame, per_language: int = 1000, landmarks: int = 64) -> Model
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(scale))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, per_language * scale // n + 1))])
     sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
-    got = sample.mapInArrow(sample_rows, "lang string, bits binary").collect()
+    got = sample.mapInArrow(C.released(sample_rows), "lang string, bits binary").collect()
     got = [r for r in got if any(r.bits)]
     got.sort(key=lambda r: hash_of(r.bits))
     bits = np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), SLOTS // 8)
@@ -182,18 +182,33 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.released(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
     """Fit on the rows outside the held-out fold, predict all."""
     left = C.remainder("doc_id", fold)
-    model = fit(docs.where(left != held).select("doc_id", "lang", "text"))
+    model = fit(docs.where(left.isNull() | (left != held)).select("doc_id", "lang", "text"))
     out = predict(docs, model)
-    return out.select("doc_id", (C.remainder("doc_id", fold) == held).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(C.remainder("doc_id", fold) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def drop_rejected(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The documents that have a language: not `und`, and a score that is not below chance-like levels."""
-    found = C.saved(identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id").distinct(), "rejected")
-    return docs.join(found, "doc_id", "left_anti")
+    """The rows that have a language: not `und`, and a score that is not below chance-like levels.
+
+    Each row is judged by its own text, so repeated and null ids change nothing.
+    """
+    left = C.remainder("doc_id", 4)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(left.isNull() | (left != 2)).select("doc_id", "lang", "text")))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own = shared.value
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for lo, part in rows_at_once([t or "" for t in b.column(at).to_pylist()]):
+                names, scores = own.predict(part)
+                keep[lo : lo + len(part)] = (np.array(names, object) != "und") & (scores >= min_score)
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(C.released(run), docs.schema)

@@ -23,7 +23,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket", "row_mark", "first")
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,7 +377,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep_text: bool = False, check:
     """doc_id, ids, n_tokens and round_trip (decoding gives the text back); text too if asked for."""
     shared = load(docs.sparkSession, model)
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = small.mapInArrow(encode_batches(shared, 1, check), "doc_id long, text string, ids array<int>, n_tokens long" + ", round_trip boolean" * check)
+    out = small.mapInArrow(C.released(encode_batches(shared, 1, check)), "doc_id long, text string, ids array<int>, n_tokens long" + ", round_trip boolean" * check)
     return out if keep_text else out.drop("text")
 
 

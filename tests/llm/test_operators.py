@@ -241,3 +241,17 @@ def test_html_extraction_of_a_table(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(pages).collect())
     assert got == [(1, "", 0), (2, "", 0), (2, "Head One & two.", 15)]
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_filters_judge_rows_and_not_ids(spark):
+    """Rows that share an id, or have none, with one of them to drop."""
+    item = "the quick brown fox jumps over the lazy dog again"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, [item, "a text of its own that stays", item, "another that stays", item], [1, 1, None, None, 3])
+    left = decontaminate.drop_contaminated(docs, items)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("1", "a text of its own that stays"), ("None", "another that stays")] and left.columns == docs.columns
+    docs = frame(spark, ["plain words of a text", "123", "", "more words of a text", None], [1, 1, None, None, None])
+    assert sorted(r.text for r in langid.drop_rejected(docs).collect()) == ["more words of a text", "plain words of a text"]
+    docs = frame(spark, ["same", "s a m e", "same", "unique", "same", "s\na m e", "s a\tm e", "unique", None, ""], [1, 5, 5, 5, None, 5, 5, 5, None, 7])
+    kept = sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_copies(docs).collect())
+    assert len(kept) == 3 and kept[1:] == [("5", "unique"), ("7", "")] and kept[0][0] == "5" and len(kept[0][1]) == 7

@@ -33,3 +33,15 @@ def test_pipeline(spark, tmp_path):
     assert left[2] == left[1] - {103}
     assert left[3] == left[2] - {104}
     assert left[4] == left[3] and kept.where("not round_trip").count() == 0
+
+
+def test_stages_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, mark long, root long, sig long, first boolean"
+    spark.createDataFrame([(1, "one two three four five six", 0)], "item_id long, text string, node long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, "en", "s", 1, 7, 7, 7, 7, True), (1, text, "en", "s", 1, 8, 8, 8, 8, False), (None, text + " x", "en", "s", 1, 9, 9, 9, 9, None), (1, "a text of its own", "en", "s", 1, 1, 1, 1, 1, True)]
+    for given, want in ((rows[:0], 0), (rows, 2)):
+        kept = spark.createDataFrame(given, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, str(tmp_path))
+        assert kept.count() == want
