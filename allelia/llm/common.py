@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +54,13 @@ def discard(df: DataFrame) -> None:
 
 
 def released(run):
-    """A mapInArrow function that gives memory back when its task ends: workers live on for other stages."""
+    """A mapInArrow function that gives memory back when its task ends: workers live on for other stages.
+
+    The session's Arrow batches become BATCH_BYTES at most (64 MB by default, which a worker holds several times).
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def wrapped(batches):
         try:
