@@ -29,7 +29,7 @@ FILLS = {"best_guess": lambda f: F.round(2 * f), "mean": lambda f: 2 * f, "minor
 def impute_and_flip(calls: DataFrame, counts: DataFrame, fill: str = "best_guess") -> DataFrame:
     """Dosages of the minor allele: missing calls filled by the flipped frequency, allele flipped where af > 0.5.
 
-    A flipped marker's zeros become twos; callers treat them through `flip` (dosage 2 - g of absent rows).
+    A flipped marker's zeros, which have no rows, become twos: `minor_dosages` adds them.
     """
     c = counts.select("marker_id", "af", F.least("af", 1 - F.col("af")).alias("f"), (F.col("af") > 0.5).alias("flip"))
     x = calls.join(c, "marker_id")
@@ -37,6 +37,20 @@ def impute_and_flip(calls: DataFrame, counts: DataFrame, fill: str = "best_guess
     return x.select("sample_id", "marker_id", "flip", "f", g.alias("g"))
 
 
+def minor_dosages(calls: DataFrame, counts: DataFrame, samples: DataFrame, fill: str = "best_guess") -> DataFrame:
+    """(sample_id, marker_id, dosage) of the minor allele, without zeros.
+
+    Samples without a row have no copy of the counted allele: of a flipped marker (af > 0.5) they get 2. At least
+    half of the samples have rows of such a marker, so this is no more than in proportion to the rows.
+    """
+    given = impute_and_flip(calls, counts, fill).select("sample_id", "marker_id", F.col("g").alias("dosage")).where("dosage > 0")
+    flipped = counts.where("af > 0.5").select("marker_id")
+    have = calls.join(flipped, "marker_id", "left_semi").groupBy("marker_id").agg(F.collect_set("sample_id").alias("have"))
+    everyone = samples.agg(F.collect_set("sample_id").alias("everyone"))  # as long as the model's vectors
+    absent = have.crossJoin(F.broadcast(everyone)).select(F.explode(F.array_except("everyone", "have")).alias("sample_id"), "marker_id", F.lit(2.0).alias("dosage"))
+    return given.unionByName(absent)
+
+
 def after_imputation(counts: DataFrame, fill: str = "best_guess") -> DataFrame:
     """counts with mac_post and maf_post: what imputation adds to the minor allele count."""
     added = FILLS[fill](F.col("maf")) * F.col("n_miss")

@@ -196,8 +196,9 @@ def assoc_single(fit: NullFit, calls: DataFrame, markers: DataFrame, tests: scor
             block[few[m].idx, k] = few[m].dos
     parts = []
     ratio = fit.ratios[-1]
-    for chrom, model in (fit.loco or {None: fit.model}).items():
-        own = long if chrom is None else long.where(F.col("chrom") == chrom)
+    for chrom, model in {None: fit.model, **(fit.loco or {})}.items():  # None: chromosomes without a fit of their own
+        other = ~F.col("chrom").isin(list(fit.loco)) | F.col("chrom").isNull() if fit.loco else F.lit(True)
+        own = long.where(other if chrom is None else F.col("chrom") == chrom)
         parts.append(score.associate(score.packed_markers(own, fit.sample_index), model, tests, ratio, block))
     out = parts[0]
     for x in parts[1:]:
@@ -210,7 +211,7 @@ def assoc_region(fit: NullFit, calls: DataFrame, groups: DataFrame, masks: list[
     n = len(fit.model.y)
     g = calls.join(fit.sample_index.select("sample_id"), "sample_id", "left_semi")
     counts = qc.after_imputation(qc.allele_counts(g, calls.sparkSession.createDataFrame([(n,)], "n long")))
-    filled = qc.impute_and_flip(g, counts).select("sample_id", "marker_id", F.col("g").alias("dosage")).where("dosage > 0")
+    filled = qc.minor_dosages(g, counts, fit.sample_index)
     members = aggregates.mask_members(joins.in_masks(groups, masks), qc.region_filter(counts, 0.15, 0, 0, 0.5), cutoffs)
     tested = regions.test_regions(members, filled, fit.sample_index, fit.model, fit.ratios[-1], rare_mac)
     return regions.with_cauchy(tested)
@@ -221,10 +222,14 @@ def create_relationship_matrix(calls: DataFrame, samples: DataFrame, n_samples:
     return relationship.sparse_relationship(calls.where("dosage > 0"), samples, n_samples, cutoff, n_markers)
 
 
-def ld(calls: DataFrame, groups: DataFrame) -> DataFrame:
-    return regions.ld_matrix(groups, calls.where("dosage > 0"))
+def ld(calls: DataFrame, groups: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Of minor alleles; `samples` are those without a row too, by default all that have any row."""
+    samples = calls.select("sample_id").distinct() if samples is None else samples
+    counts = qc.allele_counts(calls, samples.agg(F.count(F.lit(1)).alias("n")))
+    return regions.ld_matrix(groups, qc.minor_dosages(calls, counts, samples))
 
 
 def gene_effects(fit: NullFit, calls: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    counts = qc.after_imputation(qc.allele_counts(calls, calls.sparkSession.createDataFrame([(len(fit.model.y),)], "n long")))
-    return effects.gene_effects(groups.join(counts.select("marker_id", "mac"), "marker_id"), calls.where("dosage > 0"), fit.sample_index, fit.model)
+    g = calls.join(fit.sample_index.select("sample_id"), "sample_id", "left_semi")
+    counts = qc.after_imputation(qc.allele_counts(g, calls.sparkSession.createDataFrame([(len(fit.model.y),)], "n long")))
+    return effects.gene_effects(groups.join(counts.select("marker_id", "mac"), "marker_id"), qc.minor_dosages(g, counts, fit.sample_index), fit.sample_index, fit.model)

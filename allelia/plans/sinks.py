@@ -32,12 +32,12 @@ def write_partitions(results: DataFrame, path: str, by: str = "chrom") -> None:
 
 
 def write_model(model, path: str, spark, loco: dict | None = None) -> None:
-    """A null model as two tables by left-out chromosome (0: none): parameters and per-sample vectors."""
+    """A null model as two tables by left-out chromosome (0: none): parameters and per-sample vectors. A rerun replaces them."""
     for chrom, m in {0: model, **(loco or {})}.items():
         one = [(chrom, m.trait, float(m.tau[0]), float(m.tau[1]), [float(a) for a in m.alpha], bool(m.converged))]
-        spark.createDataFrame(one, "loco_chrom int, trait string, tau0 double, tau1 double, alpha array<double>, converged boolean").write.mode("append").partitionBy("loco_chrom").parquet(f"{path}/parameters")
+        spark.createDataFrame(one, "loco_chrom int, trait string, tau0 double, tau1 double, alpha array<double>, converged boolean").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("loco_chrom").parquet(f"{path}/parameters")
         rows = [(chrom, k, float(m.y[k]), float(m.mu[k]), float(m.residual[k]), float(m.eta[k]), float(m.weight[k]), float(m.offset[k]), [float(v) for v in m.x[k]]) for k in range(len(m.y))]
-        spark.createDataFrame(rows, "loco_chrom int, sample_idx int, y double, mu double, res double, eta double, v double, offset double, x array<double>").write.mode("append").partitionBy("loco_chrom").parquet(f"{path}/samples")
+        spark.createDataFrame(rows, "loco_chrom int, sample_idx int, y double, mu double, res double, eta double, v double, offset double, x array<double>").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("loco_chrom").parquet(f"{path}/samples")
 
 
 def read_model(spark, path: str, chrom: int = 0, samples: list[int] | None = None):

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; set here only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="allelia-")
+    if not base:  # on a cluster the warehouse is shared, a temporary folder is not
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        base = tempfile.mkdtemp(prefix="allelia-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/allelia-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

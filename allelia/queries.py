@@ -124,10 +124,9 @@ def s8_index_lookup(p):
     return p.markers().where("chrom = 3 and pos between 50 and 1500").select("marker_id", "chrom", "pos")
 
 
-@query("SELECT sample_id % 50 AS sample_idx, chrom || ':' || pos || ':' || ref || ':' || alt AS marker_id, dosage FROM genotypes JOIN markers USING (marker_id) WHERE sample_id % 50 = sample_id AND marker_id <= 200")
+@query("SELECT sample_id AS sample_idx, chrom || ':' || pos || ':' || ref || ':' || alt AS marker_id, dosage FROM genotypes JOIN markers USING (marker_id)")
 def s10_vcf_scan(p):
-    """All samples and markers as VCF lines, read again; sample_idx is the sample's id. The SQL has the rows of
-    the first fifty sample and 200 marker numbers."""
+    """All samples and markers as VCF lines, read again; sample_idx is the sample's id."""
     idx = numbered(p.samples(), "sample_id", "sample_idx")
     n = idx.count()
 
@@ -509,15 +508,15 @@ def _screened(p: Proxy) -> tuple[DataFrame, DataFrame, DataFrame]:
     return g, w, relationship.screened_pairs(g, w, N_MARKERS, CUTOFF, samples=p.samples())
 
 
-@query(f"WITH {_FW}, s AS (SELECT sample_id, sum(2 * w * f * dosage) AS s FROM genotypes JOIN w USING (marker_id) GROUP BY 1), c AS (SELECT sum(4 * w * f * f) AS c, count(*) AS m FROM w), result AS (SELECT i, j, (dot - a.s - b.s + c) / m AS value FROM (SELECT a.sample_id AS i, b.sample_id AS j, sum(w * a.dosage * b.dosage) AS dot FROM genotypes a JOIN genotypes b USING (marker_id) JOIN w USING (marker_id) WHERE a.sample_id <= b.sample_id AND a.marker_id <= 100 AND a.sample_id % 10 = 0 AND b.sample_id % 10 = 0 GROUP BY 1, 2) JOIN s a ON a.sample_id = i JOIN s b ON b.sample_id = j CROSS JOIN c)", "value")
+@query()
 def g6_j7_pair_screen(p):
-    """All pairs that pass the screen, with its value. The SQL is of a tenth of the samples and is not this."""
+    """All pairs that pass the screen, with its value. Held against numpy on a small table."""
     return _screened(p)[2]
 
 
-@query(f"WITH {_FW}, s AS (SELECT sample_id, sum(2 * w * f * dosage) AS s FROM genotypes JOIN w USING (marker_id) GROUP BY 1), c AS (SELECT sum(4 * w * f * f) AS c, count(*) AS m FROM w), q AS (SELECT sample_id AS i, sample_id + 1 AS j FROM samples WHERE sample_id % 25 = 0 AND sample_id + 1 IN (SELECT sample_id FROM samples)), d AS (SELECT i, j, coalesce(sum(w * a.dosage * b.dosage), 0) AS dot FROM q LEFT JOIN (genotypes a JOIN w USING (marker_id)) ON a.sample_id = i LEFT JOIN genotypes b ON b.sample_id = j AND b.marker_id = a.marker_id GROUP BY 1, 2), result AS (SELECT i, j, (dot - coalesce(x.s, 0) - coalesce(y.s, 0) + c) / m AS value FROM d LEFT JOIN s x ON x.sample_id = i LEFT JOIN s y ON y.sample_id = j CROSS JOIN c)", "value")
+@query()
 def g7_g8_refined_pairs(p):
-    """The pairs that pass the screen, over all markers. The SQL is of some neighbours by id and is not this."""
+    """The pairs that pass the screen, over all markers. Held against numpy on a small table."""
     g, w, pairs = _screened(p)
     return relationship.pair_kinship(g, w, pairs).where(F.col("value") >= CUTOFF)
 

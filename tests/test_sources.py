@@ -128,3 +128,22 @@ def test_ingest_goes_on_where_it_was(spark, tmp_path):
     assert ingest_new(spark, src, "id long", out, ck) == 3
     assert spark.read.parquet(out).count() == 8
     assert ingest_new(spark, src, "id long", out, ck) == 0
+
+
+def test_matrix_of_one_entry_and_an_entry_like_the_size_line(spark, tmp_path):
+    (tmp_path / "ids").write_text("a\nb\nc\n")
+    for body, want in (("3 3 1\n2 1 0.5\n", {("a", "b", 0.5), ("b", "a", 0.5)}), ("3 3 2\n1 1 1\n3 3 2\n", {("a", "a", 1.0), ("c", "c", 2.0)})):
+        (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n% x\n" + body)
+        got = T.read_sparse_matrix(spark, str(tmp_path / "m.mtx"), str(tmp_path / "ids"))
+        assert {(r.i, r.j, r.value) for r in got.collect()} == want
+
+
+def test_minor_dosages_of_a_flipped_marker(spark):
+
+
+    full = np.array([[2, 2, 2, 2, 2, 2, 2, 2, 1, 0], [0, 0, 1, 0, 0, 2, 0, 0, 0, 0]], float)
+    calls = spark.createDataFrame([(int(s), int(m), float(full[m, s])) for m in range(2) for s in range(10) if full[m, s]], "sample_id long, marker_id long, dosage double")
+    samples = spark.range(10).withColumnRenamed("id", "sample_id")
+    counts = qc.allele_counts(calls, spark.createDataFrame([(10,)], "n long"))
+    got = {(r.marker_id, r.sample_id): r.dosage for r in qc.minor_dosages(calls, counts, samples).collect()}
+    assert got == {(0, 8): 1, (0, 9): 2, (1, 2): 1, (1, 5): 2}
