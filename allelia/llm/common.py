@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelia.plans.storage import shared_dir
+
 BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
@@ -27,15 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names (set here only if unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="allelia-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
