@@ -3,13 +3,15 @@
 A page is a sequence of words and tags. Words score positive and tags negative: the weight of a word
 depends on the block that it stands in, the weight of a tag on its name, and both are log odds from
 labelled pages (pages that mark their article themselves with article, main, role=main or
-itemprop=articleBody: what is inside is content), smoothed towards fixed prior odds. One linear scan finds
-the contiguous region of the greatest sum. If the page marks an article and the region lies mostly in it,
-the region becomes that article. Of the region come all blocks but those inside menus, page headers,
-footers, asides, notices, adverts, forms, comments and hidden or raw elements.
-
-The weights are fitted on a bounded sample (`sample` pages by a hash of page_id). Null and empty html and
-html without text give empty text. Repeated pages are rows each. Long pages are scanned whole.
+itemprop=articleBody: what is inside is content, the marking tags themselves are not), smoothed towards fixed
+prior odds. One linear scan finds the contiguous region of the greatest sum; marks decide nothing else, so
+pages with and without them are read alike. Of the region come all blocks that it touches, whole, but those
+inside menus, page headers, footers, asides, notices, adverts, forms, comments and hidden or raw elements.
+
+The weights are fitted on a bounded sample (`sample` pages by a hash of page_id) for the `names` most frequent
+features; others keep their prior. Null and empty html and html without text give empty text; of regions with
+equal sums the first and shortest is taken. Repeated pages are rows each, an empty table gives an empty result.
+Long and deeply nested pages are scanned whole; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ BOILER = frozenset(
 )
 PAGE_HEADER = frozenset("header site-header page-header".split())
 PRIOR_WORD = {"p": 0.9, "h1": 0.9, "h2": 0.5, "h3": 0.5, "pre": 0.7, "blockquote": 0.8, "td": 0.1, "li": 0.1, "a": -0.6, "boiler": -2.5, "div": 0.3, "figcaption": 0.3, "dd": 0.3}
-PRIOR_TAG = {"p": 0.55, "br": 0.5, "b": 0.5, "i": 0.5, "em": 0.5, "a": 0.4, "li": 0.4, "div": 0.35, "ul": 0.35}
+PRIOR_TAG = {"p": 0.55, "h1": 0.55, "h2": 0.55, "h3": 0.55, "h4": 0.55, "blockquote": 0.55, "pre": 0.55, "br": 0.5, "b": 0.5, "i": 0.5, "em": 0.5, "a": 0.4, "li": 0.4, "div": 0.35, "ul": 0.35}
 PRIOR_COUNT = 200.0
 
 TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<")
@@ -80,7 +82,9 @@ class Page:
         self.kept: list[bool] = [True]
         self.tokens: list[tuple[str | None, int, str, int]] = []
         self.marked: list[list[int]] = []  # [first token, end token] of the articles that the page marks
-        stack: list[tuple[str, bool, str, int]] = []  # name, boiler, feature, marked article or -1
+        # name, boiler, feature, marked article or -1, whether in one, index of the innermost block
+        stack: list[tuple[str, bool, str, int, bool, int]] = []
+        self.opened: Counter[str] = Counter()
         pos, n = 0, len(source)
         while pos < n:
             m = TOKEN.match(source, pos)
@@ -118,49 +122,55 @@ class Page:
 
     def _open(self, name: str, given: dict[str, str], stack: list) -> None:
         while stack and name in CLOSES.get(self._block(stack), ()):
-            self._pop(self._depth(stack), stack)
+            self._pop(self._depth(stack), stack, len(self.tokens))
         if name not in INLINE:
             self._break()
         self.tokens.append((name, 0, "", -1))
         if name in VOID:
             return
         boiler = stack[-1][1] if stack else False
-        inside = next((x[3] for x in reversed(stack) if x[3] >= 0), -1)
-        boiler = boiler or is_boiler(name, given, inside >= 0)
+        inside = bool(stack) and stack[-1][4]
+        boiler = boiler or is_boiler(name, given, inside)
         own = -1
-        if not boiler and inside < 0 and (name in MARKED or given.get("role", "").lower() in ("main", "article") or "articlebody" in given.get("itemprop", "").lower()):
+        if not boiler and not inside and (name in MARKED or given.get("role", "").lower() in ("main", "article") or "articlebody" in given.get("itemprop", "").lower()):
             own = len(self.marked)
             self.marked.append([len(self.tokens), -1])
         feature = "boiler" if boiler else "a" if name == "a" or (stack and stack[-1][2] == "a") else name if name not in INLINE else stack[-1][2] if stack else "body"
-        stack.append((name, boiler, feature, own))
+        stack.append((name, boiler, feature, own, inside or own >= 0, self._depth(stack) if name in INLINE else len(stack)))
+        self.opened[name] += 1
 
     @staticmethod
     def _depth(stack: list) -> int:
         """Index of the innermost open element that is a block."""
-        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), 0)
+        return stack[-1][5] if stack else 0
 
     def _block(self, stack: list) -> str:
         return stack[self._depth(stack)][0]
 
-    def _pop(self, depth: int, stack: list) -> None:
-        for _, _, _, own in stack[depth:]:
+    def _pop(self, depth: int, stack: list, end: int) -> None:
+        for name, _, _, own, _, _ in stack[depth:]:
+            self.opened[name] -= 1
             if own >= 0:
-                self.marked[own][1] = len(self.tokens)
+                self.marked[own][1] = end
         del stack[depth:]
 
     def _close(self, name: str, stack: list) -> None:
         if name not in INLINE:
             self._break()
         self.tokens.append((f"/{name}", 0, "", -1))
-        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-        if at >= 0 and not (name in INLINE and any(x[0] not in INLINE for x in stack[at:])):
-            self._pop(at, stack)
+        if not self.opened[name]:
+            return
+        # an inline element does not close past the block that it stands in
+        first = self._depth(stack) if name in INLINE else 0
+        at = next((k for k in range(len(stack) - 1, first - 1, -1) if stack[k][0] == name), -1)
+        if at >= 0:
+            self._pop(at, stack, len(self.tokens) - 1)
 
     def _words(self, text: str, stack: list, decode: bool = True) -> None:
         text = html.unescape(text) if decode else text
         if any(x[0] in RAW for x in stack[-1:]) or not text:
             return
-        name, boiler, feature, _ = stack[-1] if stack else ("body", False, "body", -1)
+        boiler, feature = stack[-1][1:3] if stack else (False, "body")
         kept = not boiler
         if self.blocks[-1] and self.kept[-1] != kept:
             self._break()
@@ -229,21 +239,11 @@ def main_text(source: str | None, weights: Weights) -> str:
     lo, hi = region(page, weights)
     if hi <= lo:
         return ""
-    held = lambda a, b: sum(n for name, n, f, _ in page.tokens[a:b] if name is None and f != "boiler")
-    for a, b in page.marked:
-        if 2 * held(max(a, lo), min(b, hi)) > held(lo, hi):
-            lo, hi = a, b
-            break
-    else:
-        if page.marked:  # several articles, none with most of the region: all of those that it touches
-            touched = [x for x in page.marked if x[0] < hi and lo < x[1]]
-            if touched:
-                lo, hi = min(x[0] for x in touched), max(x[1] for x in touched)
     blocks = dict.fromkeys(b for name, _, _, b in page.tokens[lo:hi] if name is None and page.kept[b])
     return " ".join(" ".join("".join(page.blocks[b]).split()) for b in blocks)
 
 
-def fit(pages: DataFrame, sample: int = 2000) -> Weights:
+def fit(pages: DataFrame, sample: int = 2000, names: int = 500) -> Weights:
     n = pages.count()
     scale = 1 << 30
     rows = pages.where(F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(scale)) < min(scale, sample * scale // max(n, 1) + 1)).select("html")
@@ -260,9 +260,9 @@ def fit(pages: DataFrame, sample: int = 2000) -> Weights:
         columns = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.float64())], names=["kind", "name", "inside", "n"])
 
-    # names of tags are the page's own: the most frequent ones are enough and bounded
+    # names of tags are the pages' own: the most frequent ones are learned
     out = rows.mapInArrow(run, "kind string, name string, inside boolean, n double").groupBy("kind", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0.0)).alias("b"))
-    got = out.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "name").limit(500).collect()
+    got = out.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "name").limit(names).collect()
     return Weights({r.name: (r.a, r.b) for r in got if r.kind == "w"}, {r.name: (r.a, r.b) for r in got if r.kind == "t"})
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -303,6 +304,70 @@ def test_main_text_without_and_with_a_marked_article():
     assert html_extract.main_text("<article><p>" + "word " * 50_000 + "</article>", w) == ("word " * 50_000).strip()
 
 
+def test_region_is_the_best_of_all_contiguous_ones():
+    rng = np.random.default_rng(21)
+    w = html_extract.Weights({}, {})
+    for _ in range(150):
+        parts = [f"<{t}>" + "w " * int(rng.integers(0, 4)) + f"</{t}>" * int(rng.integers(0, 2)) for t in rng.choice(["p", "div", "a", "li", "nav", "article", "b"], int(rng.integers(0, 14)))]
+        page = html_extract.Page("".join(parts))
+        scores = [w.score(t) for t in page.tokens]
+        lo, hi = html_extract.region(page, w)
+        best = max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1)), default=0.0)
+        assert sum(scores[lo:hi]) == pytest.approx(best)
+
+
+def test_region_decides_on_pages_that_mark_nothing():
+    """Weights from marked pages; the same layouts with bare div elements instead are held out."""
+    rng = np.random.default_rng(22)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    links = lambda: "<div><ul>" + "".join(f"<li><a href=/x>{text(2)}</a></li>" for _ in range(12)) + "</ul></div>"
+
+    def made(name):
+        want = [text(int(rng.integers(2, 9)))] + [text(int(rng.integers(5, 80))) for _ in range(int(rng.integers(1, 8)))]
+        body = f"<h1>{want[0]}</h1>" + "".join(f"<p>{x}</p>" for x in want[1:])
+        return f"<html><body>{links()}<{name}>{body}</{name}>{links()}</body></html>", " ".join(want)
+
+    words, tags = Counter(), Counter()
+    for _ in range(60):
+        a, b = html_extract.counted(html_extract.Page(made("article")[0]))
+        words.update(a)
+        tags.update(b)
+    by = lambda c: {n: (c[n, True], c[n, False]) for n, _ in c}
+    learned = html_extract.Weights(by(words), by(tags))
+
+    def drawn():
+        other = html_extract.Weights({}, {})
+        other.word = {k: float(rng.uniform(-2, 2)) for k in sorted(other.word)}
+        return other
+
+    def f1(weights, held):
+        total = 0.0
+        for source, want in held:
+            got, right = Counter(html_extract.main_text(source, weights).split()), Counter(want.split())
+            total += 2 * (got & right).total() / (got.total() + right.total())
+        return total / len(held)
+
+    held = [made("div") for _ in range(60)]
+    whole = sum(2 * len(w.split()) / (2 * len(w.split()) + 48) for _, w in held) / len(held)  # F1 of all blocks, no region
+    assert f1(learned, held) > 0.99 > whole + 0.1
+    assert np.mean([f1(drawn(), held) for _ in range(20)]) < f1(learned, held) - 0.1
+
+
+def test_marks_do_not_override_the_region():
+    w = html_extract.Weights({}, {})
+    far = "<article><p>one two</p></article>" + "<div>" * 40 + "<p>" + "word " * 60 + "</p>" + "</div>" * 40
+    assert html_extract.main_text(far, w) == ("word " * 60).strip()
+    page = html_extract.Page("<div><article><p>a</p></div><p>b</p>")
+    lo, hi = page.marked[0]
+    assert [t[0] for t in page.tokens[lo:hi]] == ["p", None, "/p"]
+
+
+def test_deep_nesting_and_stray_ends_take_linear_time():
+    w = html_extract.Weights({}, {})
+    deep = "<div>" * 20_000 + "<b>" * 20_000 + "</u>" * 20_000 + "</li>" * 20_000 + "<article>" * 20_000 + "word " * 200_000
+    assert html_extract.main_text(deep, w) == ("word " * 200_000).strip()
+
+
 def test_statistics_of_edge_texts():
     raw, off = C.text_buffers(pa.array(TEXTS))
     x = quality.statistics(raw, off)
