@@ -28,8 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write a DataFrame to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write go with it: nothing reads them again, and they would stay until the driver
+    happens to collect garbage.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = shared_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -37,11 +42,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that `saved` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `saved` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(run):
