@@ -434,8 +434,9 @@ def node_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     noise = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 20)
     best = [F.max(F.struct((F.col("share") * (1 - 0.1 * c * noise)).alias("h"), "node", "n")).alias(f"c{c}") for c in range(CENTRES)]
     centres = held.join(bits.select("node", "share"), "node").groupBy("sig").agg(*best, F.count(F.lit(1)).alias("size"))
-    centres = centres.select("sig", "size", F.explode(F.array_distinct(F.array(*[F.struct(f"c{c}.node", f"c{c}.n") for c in range(CENTRES)]))).alias("c"))
-    centres = C.saved(centres.select("sig", "size", F.col("c.node").alias("centre"), F.col("c.n").alias("m")), "centres")
+    centres = centres.select("sig", "size", F.array_distinct(F.array(*[F.struct(f"c{c}.node", f"c{c}.n") for c in range(CENTRES)])).alias("own"))
+    centres = centres.select("sig", (F.col("size") - F.size("own")).alias("left"), F.explode("own").alias("c"))
+    centres = C.saved(centres.select("sig", "left", F.col("c.node").alias("centre"), F.col("c.n").alias("m")), "centres")
     pairs = held.join(centres, "sig").where(f"node <> centre and 100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = C.saved(pairs.groupBy("centre", "node").agg(F.max("n").alias("n")), "pairs")
     load = pairs.groupBy("centre").agg(blocks(F.sum("n")).alias("parts"))
@@ -445,10 +446,10 @@ def node_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     begun = close(first.union(spread))
     C.discard(pairs)
 
-    # a centre has been compared with all sets of its entries: it leaves them
-    rest = held.join(centres.select("sig", F.col("centre").alias("node")), ["sig", "node"], "left_anti")
-    alone = centres.where(F.col("size") > CENTRES + 1).select("sig").distinct()
-    entry = C.saved(rest.join(alone, "sig", "left_semi"), "rest")
+    # a centre has been compared with all sets of its entries: it leaves them; two sets must be left to be compared
+    open_ = centres.where("left > 1")
+    rest = held.join(open_.select("sig").distinct(), "sig", "left_semi")
+    entry = C.saved(rest.join(open_.select("sig", F.col("centre").alias("node")), ["sig", "node"], "left_anti"), "rest")
     C.discard(held, centres)
     found = links(begun)
     C.discard(begun)

@@ -49,6 +49,41 @@ def near_copies(seed, n_groups=6, size=12):
     return out
 
 
+def overlapping(seed, n_groups=150):
+    """Windows of one random sequence of words a group, many of which nearly link."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(n_groups):
+        base = [f"g{g}w{k}" for k in range(rng.randrange(16, 60))]
+        for _ in range(rng.randrange(2, 6)):
+            a = rng.randrange(0, len(base) // 3)
+            own = base[a : rng.randrange(a + len(base) // 2, len(base) + 1)]
+            if rng.random() < 0.5:
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(own))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
+def test_jaccard_join_of_overlapping_windows(spark, width, percent):
+    texts = overlapping(width)
+    got = jaccard_join.jaccard_components(frame(spark, texts).repartition(3), width=width, percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, width, percent)
+
+
+def test_sets_left_by_the_only_centre_of_an_entry_are_compared(spark):
+    """a and b link; the windows c and d of a share entries with both, and may be their centre."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(100):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(24)]
+        texts += [" ".join(x) for x in (w[:22] + w[22:23], w[:22] + w[23:], w[:13], w[10:22])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, texts), width=4, percent=85).collect()}
+    assert all(got[k + 1] == k for k in range(0, len(texts), 4))
+    assert got == {k: c for k, (_, c) in brute_components(texts, 4, 85).items()}
+
+
 @pytest.mark.parametrize("frequent", [False, True])
 def test_jaccard_join_matches_brute_force(spark, monkeypatch, frequent):
     if frequent:  # every shingle that occurs twice is of class 2, then 3
