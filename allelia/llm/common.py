@@ -200,8 +200,8 @@ def packed_counts(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield k, zlib.compress(part.tobytes(), 1)
 
 
-def add_slices(slot_bytes: str, many: str = "sum"):
-    """mapInArrow: add (or OR) slices of counter tables that the partitions made; rows (slice, blob)."""
+def add_slices(slot_bytes: str, many: str, out: str):
+    """mapInArrow: add (or OR) slices of counter tables that the partitions made; rows (slice, blob) of type `out`."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -215,19 +215,19 @@ def add_slices(slot_bytes: str, many: str = "sum"):
                 else:
                     total[k] |= part
         keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(total[k].tobytes(), 1) for k in keys], pa.binary())], names=["slice", "blob"])
+        done = [zlib.compress(np.minimum(total[k], np.iinfo(out).max).astype(out).tobytes(), 1) for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(done, pa.binary())], names=["slice", "blob"])
 
     return run
 
 
 def gathered(slices: DataFrame, slot_bytes: str, many: str, slots: int, out: str) -> np.ndarray:
-    """One table of `slots` counters (a bound that does not depend on the data) on the driver."""
-    done = slices.repartition(F.col("slice")).mapInArrow(released(add_slices(slot_bytes, many)), "slice int, blob binary")
+    """One table of `slots` counters (a bound that does not depend on the data) on the driver, by one job."""
+    done = slices.repartition(F.col("slice")).mapInArrow(released(add_slices(slot_bytes, many, out)), "slice int, blob binary")
     whole = np.zeros(slots, out)
     size = slots // SLICES
-    for row in done.toLocalIterator():
-        part = np.frombuffer(zlib.decompress(bytes(row.blob)), np.int64 if many == "sum" else slot_bytes)
-        whole[row.slice * size : (row.slice + 1) * size] = np.minimum(part, np.iinfo(out).max) if many == "sum" else part
+    for row in done.collect():  # SLICES compressed rows at most
+        whole[row.slice * size : (row.slice + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.blob)), out)
     return whole
 
 
