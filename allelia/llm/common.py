@@ -151,9 +151,9 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * LANE[15])
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the words [^\\x20\\x09-\\x0D]+, and per text the range of its words."""
-    inside = ~SPACE[raw]
+def words(raw: np.ndarray, offsets: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the words [^\\x20\\x09-\\x0D]+, or of runs of the bytes `of`, and per text the range of its words."""
+    inside = (~SPACE if of is None else of)[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
