@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from allelia.operators import aggregates, effects, joins, nullmodel, qc, regions, relationship, score
 from allelia.plans import storage
-from allelia.sources import genotypes, text
+from allelia.sources import blocks, genotypes, text
 
 
 def between(name: str, value: float, low: float, high: float, open_low: bool = False) -> float:
@@ -27,49 +27,89 @@ def between(name: str, value: float, low: float, high: float, open_low: bool = F
 
 @dataclass(frozen=True)
 class GenotypeSource:
-    """Where genotypes are; exactly one kind."""
+    """Where genotypes are. Of several kinds the first of bgen, vcf, bed and pgen is read."""
 
     bed: str | None = None
     bim: str | None = None
     fam: str | None = None
     bgen: str | None = None
     vcf: str | None = None
+    pgen: str | None = None
+    pvar: str | None = None
+    psam: str | None = None
     field: str = "DS"
     samples: str | None = None
+    alleles: str = "alt-first"
 
     def __post_init__(self):
-        kinds = [k for k in ("bgen", "vcf", "bed") if getattr(self, k)]
-        if len(kinds) != 1:
-            raise ValueError("give exactly one of bed, bgen and vcf")
-        if self.bed and not (self.bim and self.fam):
+        if self.kind is None:
+            raise ValueError("give one of bgen, vcf, bed and pgen")
+        if self.kind == "bed" and not (self.bim and self.fam):
             raise ValueError("a bed file needs its bim and fam files")
-        if self.vcf and self.field not in ("DS", "GT"):
+        if self.kind == "pgen" and not (self.pvar and self.psam):
+            raise ValueError("a pgen file needs its pvar and psam files")
+        if self.kind == "vcf" and self.field not in ("DS", "GT"):
             raise ValueError("the field is DS or GT")
+        if self.alleles not in blocks.ALLELES:
+            raise ValueError("alleles are alt-first or ref-first")
+
+    @property
+    def kind(self) -> str | None:
+        return next((k for k in ("bgen", "vcf", "bed", "pgen") if getattr(self, k)), None)
 
     def load(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(samples: iid, sample_idx), (markers: marker_id, chrom, pos, ref, alt, ...), (calls: sample_id = sample_idx, marker_id, dosage)"""
-        if self.bed:
-            fam = spark.read.text(self.fam, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n"))).select(F.split(F.trim("col"), r"\s+")[1].alias("iid"), F.col("pos").alias("sample_idx"))
-            bim = spark.read.text(self.bim, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")))
-            c = F.split(F.trim("col"), r"\s+")
-            markers = bim.select(F.col("pos").cast("long").alias("marker_id"), c[0].alias("chrom"), c[1].alias("id"), c[3].cast("int").alias("pos"), F.upper(c[5]).alias("ref"), F.upper(c[4]).alias("alt"))
-            calls = genotypes.long_form(genotypes.read_bed(spark, self.bed, fam.count()))
-            return fam, markers, calls.select(F.col("sample_idx").cast("long").alias("sample_id"), F.col("marker_index").alias("marker_id"), "dosage")
-        if self.bgen:
-            x = storage.saved(genotypes.read_bgen(spark, self.bgen), "bgen")
-            markers = x.select(F.col("marker_index").alias("marker_id"), "chrom", F.col("rsid").alias("id"), "pos", F.col("a1").alias("ref"), F.col("a2").alias("alt"), "info")
-            ids = text.read_sample_ids(spark, self.samples).select("iid") if self.samples else None
-            if ids is None:
-                head = spark.read.format("binaryFile").load(self.bgen).select("content").first().content
-                ids = spark.createDataFrame([(i,) for i in genotypes.bgen_header(bytes(head))["ids"]], "iid string")
-            samples = spark.createDataFrame([(r.iid, k) for k, r in enumerate(ids.collect())], "iid string, sample_idx int")
-            return samples, markers, genotypes.long_form(x).select(F.col("sample_idx").cast("long").alias("sample_id"), F.col("marker_index").alias("marker_id"), "dosage")
+        """(samples: iid, sample_idx), (markers: marker_id, chrom, pos, ref, alt, ...), (calls: sample_id = sample_idx, marker_id, dosage)
+
+        bed and pgen files are read by byte ranges, many tasks a file; bgen records by the ranges of their index.
+        """
+        return getattr(self, f"_{self.kind}")(spark)
+
+    def _bed(self, spark):
+        fam = _lines(spark, self.fam).select(F.split(F.trim("line"), r"\s+")[1].alias("iid"), "place").withColumnRenamed("place", "sample_idx")
+        c = F.split(F.trim("line"), r"\s+")
+        first, second = (c[4], c[5]) if self.alleles == "alt-first" else (c[5], c[4])
+        markers = _lines(spark, self.bim).select(F.col("place").cast("long").alias("marker_id"), c[0].alias("chrom"), c[1].alias("id"), c[3].cast("int").alias("pos"), F.upper(second).alias("ref"), F.upper(first).alias("alt"))
+        return fam, markers, _calls(blocks.read_bed(spark, self.bed, fam.count(), alleles=self.alleles))
+
+    def _pgen(self, spark):
+        psam = _lines(spark, self.psam).where("not startswith(line, '#')")
+        samples = psam.select(F.split("line", r"[\t ]")[0].alias("iid"), (F.col("place") - F.col("skipped")).alias("sample_idx"))
+        pvar = _lines(spark, self.pvar)
+        head = [x.strip() for x in pvar.where("startswith(line, '#CHROM')").first().line.split("\t")]
+        at = {name: head.index(name) for name in ("POS", "ID", "REF", "ALT")}
+        c = F.split("line", "\t")
+        markers = pvar.where("not startswith(line, '#')").select((F.col("place") - F.col("skipped")).cast("long").alias("marker_id"), c[0].alias("chrom"), c[at["ID"]].alias("id"), c[at["POS"]].cast("int").alias("pos"), F.upper(c[at["REF"]]).alias("ref"), F.upper(c[at["ALT"]]).alias("alt"))
+        return samples, markers, _calls(blocks.read_pgen(spark, self.pgen))
+
+    def _bgen(self, spark):
+        x = storage.saved(blocks.read_bgen_markers(blocks.bgen_index(spark, self.bgen), self.bgen), "bgen")
+        markers = x.select(F.col("marker_index").alias("marker_id"), "chrom", F.col("rsid").alias("id"), "pos", F.col("a1").alias("ref"), F.col("a2").alias("alt"), "info")
+        if self.samples:
+            ids = [r.iid for r in text.read_sample_ids(spark, self.samples).select("iid").collect()]
+        else:  # the head alone: one id a sample
+            store, _ = blocks.store_of(self.bgen)
+            read = blocks.ranged(store, blocks.files_of(self.bgen, ".bgen")[0][0])
+            ids = genotypes.bgen_header(read(0, int.from_bytes(read(0, 4), "little") + 4))["ids"]
+        samples = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "iid string, sample_idx int")
+        return samples, markers, _calls(x)
+
+    def _vcf(self, spark):
         markers, dosages = text.read_vcf(spark, self.vcf, self.field)
         head = spark.read.text(self.vcf).where(F.col("value").startswith("#CHROM")).first().value.split("\t")[9:]
         samples = spark.createDataFrame(list(zip(head, range(len(head)))), "iid string, sample_idx int")
         return samples, markers, dosages.select(F.col("column").cast("long").alias("sample_id"), "marker_id", "dosage")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, place, skipped): the lines of a text file, their places, and how many head lines (with #) come before."""
+    x = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("place", "line"))
+    return x.crossJoin(F.broadcast(x.agg(F.count_if(F.col("line").startswith("#")).cast("int").alias("skipped"))))  # one row
+
+
+def _calls(sparse: DataFrame) -> DataFrame:
+    return genotypes.long_form(sparse).select(F.col("sample_idx").cast("long").alias("sample_id"), F.col("marker_index").alias("marker_id"), "dosage")
+
+
 @dataclass(frozen=True)
 class NullSettings:
     trait: str = "quantitative"

@@ -19,6 +19,7 @@ from allelia.operators import aggregates as A
 from allelia.operators import effects, joins, nullmodel, qc, regions, relationship, score, survival
 from allelia.plans import relations, sinks, storage
 from allelia.plans.relations import Proxy
+from allelia.sources import blocks
 from allelia.sources import genotypes as GS
 from allelia.sources import text as T
 
@@ -736,37 +737,63 @@ def g18_effective_size(p):
     return p.spark.createDataFrame([(float(nullmodel.effective_size(op, op.diagonal())),)], "n_eff double")
 
 
-#: Packed calls in a bed file that a task writes.
-BED_BYTES = 4_000_000
+#: Bytes of packed calls of a file that a task writes.
+FILE_BYTES = 4_000_000
 
 
-@query()
-def s3_bed_scan(p):
-    """Carriers and missing calls of bed files that hold all samples and markers, by their ids."""
-    idx, place = numbered(p.samples(), "sample_id", "sample_idx"), numbered(p.markers(), "marker_id", "place")
-    n, path = idx.count(), storage.shared_dir(p.spark, "bed")
-    size = max(1, min(2000, BED_BYTES // max(1, -(-n // 4))))
+def genotype_files(p: Proxy, kind: str, calls: DataFrame) -> tuple[str, DataFrame, DataFrame, int, int]:
+    """Files of all samples and markers in the shared folder, by Spark's writer: (path, numbered samples, numbered markers,
+    samples, markers of a file). Null dosages are missing calls."""
+    idx, place = numbered(p.samples(), "sample_id", "sample_idx"), storage.saved(numbered(p.markers(), "marker_id", "place"), "places")
+    n, path = idx.count(), storage.shared_dir(p.spark, kind)
+    size = max(1, min(2000, FILE_BYTES // max(1, -(-n // 4))))
+    x = calls.join(idx, "sample_id").groupBy("marker_id").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "dosage"))).alias("x"))
+    x = place.join(x, "marker_id", "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<sample_idx:bigint,dosage:double>>")))
+    seen, gone = F.filter("x", lambda c: c["dosage"] > 0), F.filter("x", lambda c: c["dosage"].isNull())
+    of = lambda own, name: F.transform(own, lambda c: c[name])
+    rows = x.select((F.col("place") / size).cast("long").alias("block"), F.col("place").alias("marker_index"), of(seen, "sample_idx").alias("idx"), of(seen, "dosage").alias("dos"), of(gone, "sample_idx").alias("missing"))
+    blocks.write(rows, f"allelia-{kind}", path, n)
+    return path, idx, place, n, size
 
-    def written(batches):
-        from pyarrow import fs
 
-        for b in batches:
-            for k, at, x in zip(*(c.to_pylist() for c in b.columns)):
-                block = np.zeros((max(at) + 1, n), np.int8)
-                for row, one in zip(at, x):
-                    block[row, one["idx"]] = one["dos"]
-                store, folder = fs.FileSystem.from_uri(path)
-                store.create_dir(folder, recursive=True)
-                with store.open_output_stream(f"{folder}/block-{k:09d}.bed") as out:
-                    out.write(GS.packed_bed(block))
-                yield pa.RecordBatch.from_arrays([pa.array([k])], names=["block"])
-
-    rows = carriers(p, idx).join(place, "marker_id").select((F.col("place") / size).cast("long").alias("block"), (F.col("place") % size).cast("int").alias("at"), F.struct("idx", "dos").alias("x"))
-    rows.groupBy("block").agg(F.collect_list("at"), F.collect_list("x")).mapInArrow(written, "block long").agg(F.count("block")).collect()
-    read = GS.read_bed(p.spark, path, n)
-    place_of = F.regexp_extract("file", r"block-(\d+)\.bed$", 1).cast("long") * size + F.col("marker_index")
-    calls = GS.long_form(read.withColumn("marker_index", place_of))
-    return calls.join(idx, "sample_idx").join(place, F.col("marker_index") == F.col("place")).select(F.col("marker_id").alias("marker_index"), F.col("sample_id").alias("sample_idx"), "dosage")
+def by_ids(read: DataFrame, place: DataFrame, size: int) -> DataFrame:
+    """Rows of block files with the marker's id instead of its place in a file."""
+    at = F.regexp_extract("file", r"block-(\d+)\.", 1).cast("long") * size + F.col("marker_index")
+    return read.withColumn("place", at).join(place, "place").drop("place")
+
+
+@query("SELECT marker_id AS marker_index, sample_id AS sample_idx, dosage FROM genotypes", "dosage")
+def s3_bed_scan(p):
+    """Carriers of bed files that hold all samples and markers, read by byte ranges, by their ids."""
+    path, idx, place, n, size = genotype_files(p, "bed", p.genotypes())
+    rows = by_ids(blocks.read_bed(p.spark, path, n), place, size).drop("marker_index").withColumnRenamed("marker_id", "marker_index")
+    return GS.long_form(rows).join(idx, "sample_idx").select("marker_index", F.col("sample_id").alias("sample_idx"), "dosage")
+
+
+@query("SELECT marker_id, coalesce(n_miss, 0) AS n_missing, CAST(coalesce(ac, 0) AS BIGINT) AS ac, coalesce(af, 0) AS af, coalesce(mac, 0) AS mac, CASE WHEN af > 0 AND af < 1 THEN 1 / sqrt(2 * af * (1 - af)) ELSE 0 END AS inv_sd FROM markers LEFT JOIN counts USING (marker_id)", "af mac inv_sd")
+def s4_bed_bulk_counts(p):
+    """Counts of the packed bulk form of bed files with missing calls, for all samples."""
+    path, _, place, n, size = genotype_files(p, "bed", p.calls())
+    rows = by_ids(blocks.read_bed(p.spark, path, n, packed=True), place, size)
+    return rows.select("marker_id", F.col("n_missing").cast("long").alias("n_missing"), "ac", "af", "mac", "inv_sd")
+
+
+@query("SELECT marker_id, sample_id, dosage FROM calls", "dosage")
+def s5_pgen_scan(p):
+    """Carriers and missing calls of PGEN files that hold all samples and markers."""
+    path, idx, place, _, size = genotype_files(p, "pgen", p.calls())
+    rows = by_ids(blocks.read_pgen(p.spark, path), place, size)
+    return GS.long_form(rows, "marker_id").join(idx, "sample_idx").select("marker_id", "sample_id", "dosage")
+
+
+@query("SELECT marker_id, sample_id, dosage FROM calls JOIN markers USING (marker_id) WHERE marker_id % 3 <> 0", "dosage")
+def s6_bgen_scan(p):
+    """Carriers and missing calls of those records of BGEN files that a predicate on their index leaves."""
+    path, idx, place, _, size = genotype_files(p, "bgen", p.calls())
+    index = blocks.bgen_index(p.spark, path)
+    wanted = place.where("marker_id % 3 <> 0").select((F.col("place") + 1).alias("pos"))
+    rows = by_ids(blocks.read_bgen_markers(index.join(wanted, "pos", "left_semi"), path).drop("pos"), place, size)
+    return GS.long_form(rows, "marker_id").join(idx, "sample_idx").select("marker_id", "sample_id", "dosage")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

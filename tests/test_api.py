@@ -53,12 +53,41 @@ def test_sources_and_settings_are_checked():
         api.GenotypeSource()
     with pytest.raises(ValueError):
         api.GenotypeSource(bed="x")
+    with pytest.raises(ValueError):
+        api.GenotypeSource(pgen="x")
     with pytest.raises(ValueError):
         api.NullSettings(trait="other")
     with pytest.raises(ValueError):
         api.NullSettings(min_maf=0.7)
 
 
+def test_every_kind_of_source_gives_the_same_calls(spark, tmp_path):
+    from allelia.sources import pgen
+
+    rng = np.random.default_rng(8)
+    g = rng.choice([0, 1, 2, -1], (30, 11), p=[0.6, 0.25, 0.1, 0.05]).astype(np.int8)
+    want = {(s, m, None if g[m, s] < 0 else float(g[m, s])) for m, s in zip(*np.nonzero(g))}
+    (tmp_path / "a.bed").write_bytes(GS.packed_bed(g))
+    (tmp_path / "a.fam").write_text("".join(f"f s{i} 0 0 1 -9\n" for i in range(11)))
+    (tmp_path / "a.bim").write_text("".join(f"1 m{k} 0 {k + 1} a c\n" for k in range(30)))
+    (tmp_path / "a.pgen").write_bytes(pgen.file_of(np.where(g < 0, 3, g).astype(np.uint8)))
+    (tmp_path / "a.psam").write_text("#IID\tSEX\n" + "".join(f"s{i}\t1\n" for i in range(11)))
+    (tmp_path / "a.pvar").write_text("##x\n#CHROM\tID\tPOS\tALT\tREF\n" + "".join(f"1\tm{k}\t{k + 1}\ta\tc\n" for k in range(30)))
+    p = np.stack([np.where(g == 0, 255, 0), np.where(g == 1, 255, 0)], axis=2)
+    (tmp_path / "a.bgen").write_bytes(GS.write_bgen([(f"m{k}", f"m{k}", "1", k + 1, "c", "a", p[k], g[k] < 0) for k in range(30)], [f"s{i}" for i in range(11)]))
+    at = lambda x: str(tmp_path / f"a.{x}")
+    bed = api.GenotypeSource(bed=at("bed"), bim=at("bim"), fam=at("fam"))
+    pg = api.GenotypeSource(pgen=at("pgen"), pvar=at("pvar"), psam=at("psam"))
+    bgen = api.GenotypeSource(bgen=at("bgen"), bed=at("bed"))
+    assert (bed.kind, pg.kind, bgen.kind) == ("bed", "pgen", "bgen")
+    for source in (bed, pg, bgen):
+        samples, markers, calls = source.load(spark)
+        assert {tuple(r) for r in calls.select("sample_id", "marker_id", "dosage").collect()} == want
+        assert [r.iid for r in samples.orderBy("sample_idx").collect()] == [f"s{i}" for i in range(11)]
+        rows = markers.orderBy("marker_id").collect()
+        assert [(r.id, r.pos, r.ref.upper(), r.alt.upper()) for r in rows] == [(f"m{k}", k + 1, "C", "A") for k in range(30)]
+
+
 def test_family_solver_matches_a_dense_solve():
     rng = np.random.default_rng(2)
     n = 40
