@@ -120,7 +120,8 @@ class DenseOperator:
     """K B for an N x k block B: markers stay on the executors, packed per partition as sparse columns.
 
     Each partition returns one N x k partial product; partials are added in a tree of sqrt(partitions)
-    tasks, so the driver gets few of them.
+    tasks, so the driver gets few of them. With a chromosome for each marker (a column `chrom` of weights), each
+    column of the block may leave one out: `left_out` names it. That takes the same one scan.
     """
 
     def __init__(self, g: DataFrame, sample_index: DataFrame, n: int, weights: DataFrame):
@@ -128,11 +129,13 @@ class DenseOperator:
 
         self.spark, self.n = g.sparkSession, n
         rows = g.join(sample_index.select("sample_id", "sample_idx"), "sample_id").groupBy("marker_id").agg(F.collect_list(F.struct("sample_idx", "dosage")).alias("x"))
-        self.markers = saved(rows.join(weights, "marker_id").select("f", "w", F.col("x.sample_idx").alias("idx"), F.col("x.dosage").alias("dos")), "markers")
-        self.m = self.markers.count()
+        chrom = F.col("chrom").cast("int") if "chrom" in weights.columns else F.lit(-1)
+        self.markers = saved(rows.join(weights, "marker_id").select("f", "w", F.col("x.sample_idx").alias("idx"), F.col("x.dosage").alias("dos"), chrom.alias("chrom")), "markers")
+        self.sizes = {r.chrom: r["count"] for r in self.markers.groupBy("chrom").count().collect()}
+        self.m = sum(self.sizes.values())
         self.fan = max(1, round(self.markers.rdd.getNumPartitions() ** 0.5))
 
-    def __call__(self, block: np.ndarray) -> np.ndarray:
+    def __call__(self, block: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
         n, k = block.shape
         shared = self.spark.sparkContext.broadcast(block)
         fan = self.fan
@@ -150,6 +153,8 @@ class DenseOperator:
                 gb = np.zeros((len(f), k))
                 np.add.at(gb, owner, d[:, None] * b[flat])
                 u = w[:, None] * (gb - 2 * f[:, None] * total)
+                if left_out is not None:
+                    u[batch.column(4).to_numpy()[:, None] == left_out[None]] = 0
                 np.add.at(out, flat, d[:, None] * u[owner])
                 const += (2 * f[:, None] * u).sum(axis=0)
             if some:
@@ -157,35 +162,85 @@ class DenseOperator:
 
                 yield pa.RecordBatch.from_arrays([pa.array([pyspark.TaskContext.get().partitionId() % fan]), pa.array([(out - const).tobytes()])], names=["slot", "blob"])
 
-        def add(batches):
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    x = np.frombuffer(blob)
-                    total[slot] = total[slot] + x if slot in total else x.copy()
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["blob"])
-
-        parts = self.markers.mapInArrow(part, "slot long, blob binary").repartition(fan, "slot").mapInArrow(add, "blob binary")
+        parts = self.markers.mapInArrow(part, "slot long, blob binary").repartition(fan, "slot").mapInArrow(_added, "blob binary")
         out = np.zeros(n * k)
         for row in parts.toLocalIterator():
             out += np.frombuffer(row.blob)
         shared.unpersist()
-        return out.reshape(n, k) / max(self.m, 1)
+        return out.reshape(n, k) / _markers_of(self.sizes, left_out)
+
+    def diagonals(self) -> dict[int, np.ndarray]:
+        """Per chromosome the diagonal of the K that leaves it out, from one scan of the markers."""
+        n, codes = self.n, sorted(self.sizes)
+        fan = self.fan
+
+        def part(batches):
+            out = np.zeros((len(codes), n))
+            for batch in batches:
+                idx, dos = batch.column(2), batch.column(3)
+                bounds = np.asarray(idx.offsets)
+                flat, d = np.asarray(idx.values), np.asarray(dos.values)
+                f, w = (np.repeat(batch.column(c).to_numpy(), np.diff(bounds)) for c in (0, 1))
+                c = np.searchsorted(codes, batch.column(4).to_numpy())
+                np.add.at(out, (np.repeat(c, np.diff(bounds)), flat), w * (d * d - 4 * f * d))
+                f, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                out += np.bincount(c, 4 * w * f * f, len(codes))[:, None]
+            import pyspark
+
+            yield pa.RecordBatch.from_arrays([pa.array([pyspark.TaskContext.get().partitionId() % fan]), pa.array([out.tobytes()])], names=["slot", "blob"])
+
+        total = np.zeros(len(codes) * n)
+        for row in self.markers.mapInArrow(part, "slot long, blob binary").repartition(fan, "slot").mapInArrow(_added, "blob binary").toLocalIterator():
+            total += np.frombuffer(row.blob)
+        return _without_each(codes, total.reshape(len(codes), n), self.sizes)
+
+
+def _added(batches):
+    """mapInArrow over (slot, blob): the sum of each slot's blobs."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(blob)
+            total[slot] = total[slot] + x if slot in total else x.copy()
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["blob"])
+
+
+def _markers_of(sizes: dict[int, int], left_out: np.ndarray | None):
+    """Markers of the K of each column."""
+    m = sum(sizes.values())
+    return max(m, 1) if left_out is None else np.array([max(1, m - sizes.get(int(c), 0)) for c in left_out])
+
+
+def _without_each(codes, sums: np.ndarray, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    m = sum(sizes.values())
+    return {c: (sums.sum(axis=0) - own) / max(1, m - sizes[c]) for c, own in zip(codes, sums)}
 
 
 class LocalOperator:
     """K B with the carriers in driver memory; for few carriers, where a job per product would cost more."""
 
-    def __init__(self, marker: np.ndarray, sample: np.ndarray, dosage: np.ndarray, f: np.ndarray, w: np.ndarray, n: int):
+    def __init__(self, marker: np.ndarray, sample: np.ndarray, dosage: np.ndarray, f: np.ndarray, w: np.ndarray, n: int, chrom: np.ndarray | None = None):
         self.marker, self.sample, self.dosage, self.f, self.w, self.n = marker, sample, dosage, f, w, n
+        self.chrom = np.full(len(f), -1) if chrom is None else chrom
+        self.sizes = dict(zip(*(x.tolist() for x in np.unique(self.chrom, return_counts=True))))
 
-    def __call__(self, block: np.ndarray) -> np.ndarray:
+    def __call__(self, block: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
         out = np.empty((self.n, block.shape[1]))
         for k in range(block.shape[1]):
             b = block[:, k]
             u = self.w * (np.bincount(self.marker, self.dosage * b[self.sample], len(self.f)) - 2 * self.f * b.sum())
+            if left_out is not None:
+                u[self.chrom == left_out[k]] = 0
             out[:, k] = np.bincount(self.sample, self.dosage * u[self.marker], self.n) - 2 * np.sum(self.f * u)
-        return out / max(1, len(self.f))
+        return out / _markers_of(self.sizes, left_out)
+
+    def diagonals(self) -> dict[int, np.ndarray]:
+        codes = sorted(self.sizes)
+        c = np.searchsorted(codes, self.chrom)
+        sums = np.zeros((len(codes), self.n))
+        f, w, d = self.f[self.marker], self.w[self.marker], self.dosage
+        np.add.at(sums, (c[self.marker], self.sample), w * (d * d - 4 * f * d))
+        return _without_each(codes, sums + np.bincount(c, 4 * self.w * self.f**2, len(codes))[:, None], self.sizes)
 
 
 #: Carriers that fit the driver: 24 bytes each.
@@ -197,10 +252,11 @@ def kinship_operator(g: DataFrame, sample_index: DataFrame, n: int, weights: Dat
     rows = g.join(sample_index.select("sample_id", "sample_idx"), "sample_id").join(weights, "marker_id")
     if rows.count() > local_cells:
         return DenseOperator(g, sample_index, n, weights)
-    x = rows.select("marker_id", "sample_idx", "dosage", "f", "w").toPandas().sort_values(["marker_id", "sample_idx"])
+    chrom = F.col("chrom").cast("int") if "chrom" in weights.columns else F.lit(-1)
+    x = rows.select("marker_id", "sample_idx", "dosage", "f", "w", chrom.alias("chrom")).toPandas().sort_values(["marker_id", "sample_idx"])
     codes, first = np.unique(x.marker_id.to_numpy(), return_index=True)
     f, w = x.f.to_numpy()[first], x.w.to_numpy()[first]
-    return LocalOperator(np.searchsorted(codes, x.marker_id.to_numpy()), x.sample_idx.to_numpy(), x.dosage.to_numpy(), f, w, n)
+    return LocalOperator(np.searchsorted(codes, x.marker_id.to_numpy()), x.sample_idx.to_numpy(), x.dosage.to_numpy(), f, w, n, x.chrom.to_numpy()[first])
 
 
 class FamilySolver:

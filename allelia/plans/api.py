@@ -185,13 +185,13 @@ def fit_null(phenotypes: DataFrame, calls: DataFrame, markers: DataFrame, settin
     model = nullmodel.fit(operator, diagonal, q, y, ids, s.trait, s.solver, offset, time)
     fits = {}
     if s.loco and relationship_matrix is None:
-        chroms = [r.chrom for r in markers.join(w, "marker_id").select("chrom").distinct().collect()]
-        if len(chroms) > 1:
-            rest = {}
-            for c in chroms:
-                own = w.join(markers.where(F.col("chrom") != c).select("marker_id"), "marker_id", "left_semi")
-                rest[c] = relationship.kinship_operator(filled, idx, n, own), _diagonal(filled, own, idx, n)
-            fits = nullmodel.leave_one_chromosome(rest, model, ids, s.solver, time)
+        chroms = sorted({r.chrom for r in markers.join(w, "marker_id").select("chrom").distinct().collect()}, key=str)
+        if len(chroms) > 1:  # one operator whose columns each leave a chromosome out
+            numbers = spark.createDataFrame([(c, k) for k, c in enumerate(chroms)], markers.select("chrom", F.lit(0).alias("code")).schema)
+            code = markers.join(F.broadcast(numbers), "chrom").select("marker_id", F.col("code").alias("chrom"))
+            parts = relationship.kinship_operator(filled, idx, n, w.join(code, "marker_id"))
+            found = nullmodel.leave_one_chromosome(parts, parts.diagonals(), model, s.solver, time)
+            fits = {chroms[k]: one for k, one in found.items()}
     ratios = []
     edges = list(s.ratio_edges) or [s.ratio_min_mac]
     tops = [*edges[1:], math.inf]
