@@ -50,7 +50,7 @@ def whole(column: pa.Array, dim: int) -> np.ndarray:
 
 def compressed(v: np.ndarray) -> np.ndarray:
     """Per row and segment the mean, scaled by the root of the segment's width, and the norm of the rest."""
-    parts = v.astype(np.float64).reshape(len(v), -1, SEGMENT)
+    parts = v.astype(np.float64).reshape(len(v), v.shape[1] // SEGMENT, SEGMENT)
     mean = parts.mean(axis=2)
     rest = np.sqrt(((parts - mean[:, :, None]) ** 2).sum(axis=2))
     return np.concatenate([mean * SEGMENT**0.5, rest], axis=1)
@@ -148,7 +148,10 @@ def clustered(table: DataFrame, k: int = 40, rounds: int = 5, seed: int = 2, dim
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit("")))
     first = vectors.select(F.sha2(name, 256).alias("h"), "v").orderBy("h", "v").limit(k).collect()  # k rows
     centroids = np.array([r.v for r in first], np.int64).reshape(len(first), dim)
-    for _ in range(rounds if len(first) else 0):
+    if not first:
+        C.discard(vectors)
+        return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast((centroids, compressed(centroids)))
         sums = vectors.mapInArrow(partial_sums(dim, shared), "cluster int, part int, total decimal(38,0)").groupBy("cluster", "part").agg(F.sum("total").alias("total"))
         total = {(r.cluster, r.part): int(r.total) for r in sums.collect()}  # k x (dim + 1) rows
@@ -157,7 +160,7 @@ def clustered(table: DataFrame, k: int = 40, rounds: int = 5, seed: int = 2, dim
                 centroids[c] = [total[c, j] // n for j in range(dim)]
         shared.unpersist()
     shared = spark.sparkContext.broadcast((centroids, compressed(centroids)))
-    out = C.saved(vectors.mapInArrow(assigned(dim, shared), "vec_id long, cluster int, distance long"), "assigned") if len(first) else spark.createDataFrame([], "vec_id long, cluster int, distance long")
+    out = C.saved(vectors.mapInArrow(assigned(dim, shared), "vec_id long, cluster int, distance long"), "assigned")
     C.discard(vectors)
     # k rows: sums of distances, null if a distance is
     inertia = F.when(F.count(F.lit(1)) == F.count("distance"), F.sum(F.col("distance").cast("decimal(38,0)"))).alias("inertia")
