@@ -235,11 +235,17 @@ def assoc_single(fit: NullFit, calls: DataFrame, markers: DataFrame, tests: scor
         for k, m in enumerate(condition):
             block[few[m].idx, k] = few[m].dos
     parts = []
-    ratio = fit.ratios[-1]
+    ratios = score.Ratios(tuple(fit.ratios), tuple(fit.ratio_edges))
     for chrom, model in {None: fit.model, **(fit.loco or {})}.items():  # None: chromosomes without a fit of their own
         other = ~F.col("chrom").isin(list(fit.loco)) | F.col("chrom").isNull() if fit.loco else F.lit(True)
         own = long.where(other if chrom is None else F.col("chrom") == chrom)
-        parts.append(score.associate(score.packed_markers(own, fit.sample_index), model, tests, ratio, block))
+        if block is None:
+            parts.append(score.tested(own, fit.sample_index, model, tests, ratios))
+        else:
+            packed = score.packed_markers(own, fit.sample_index)
+            mac = F.aggregate("dos", F.lit(0.0), lambda a, x: a + x)
+            ratio = ratios.column(F.least(mac, 2.0 * n - mac))
+            parts.append(score.associate(packed.withColumn("ratio", ratio), model, tests, fit.ratios[-1], block))
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)

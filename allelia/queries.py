@@ -696,7 +696,7 @@ def n16_g13_variance_ratio(p):
 @query()
 def t5_associations_binary(p):
     m, _, _, g, idx, _ = fitted(p, "binary")
-    return score.associate(score.packed_markers(g, idx), m, score.TestSettings("binary"))
+    return score.tested(g, idx, m, score.TestSettings("binary"))
 
 
 @query()
