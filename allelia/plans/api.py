@@ -226,14 +226,7 @@ def assoc_single(fit: NullFit, calls: DataFrame, markers: DataFrame, tests: scor
     filled = qc.impute_and_flip(g.join(keep.select("marker_id"), "marker_id", "left_semi"), counts, fill)
     long = filled.select("sample_id", "marker_id", F.when(F.col("flip"), 2 - F.col("g")).otherwise(F.col("g")).alias("dosage")).where("dosage > 0")
     long = long.join(markers.select("marker_id", "chrom"), "marker_id")
-    block = None
-    if condition:
-        few = {r.marker_id: r for r in score.packed_markers(long.where(F.col("marker_id").isin(condition)), fit.sample_index).collect()}
-        if absent := [m for m in condition if m not in few]:
-            raise ValueError(f"conditioning markers that are absent: {absent}")
-        block = np.zeros((n, len(condition)))
-        for k, m in enumerate(condition):
-            block[few[m].idx, k] = few[m].dos
+    block = _conditioning(fit, long, condition) if condition else None
     parts = []
     ratios = score.Ratios(tuple(fit.ratios), tuple(fit.ratio_edges))
     for chrom, model in {None: fit.model, **(fit.loco or {})}.items():  # None: chromosomes without a fit of their own
@@ -252,15 +245,30 @@ def assoc_single(fit: NullFit, calls: DataFrame, markers: DataFrame, tests: scor
     return out
 
 
-def assoc_region(fit: NullFit, calls: DataFrame, groups: DataFrame, masks: list[str], cutoffs: list[float], rare_mac: float = 10.0) -> DataFrame:
-    """Set tests: groups (region, marker_id, anno) -> rows per mask and cutoff, and one Cauchy row a region."""
+def assoc_region(fit: NullFit, calls: DataFrame, groups: DataFrame, masks: list[str], cutoffs: list[float], rare_mac: float = 10.0, condition: list | None = None, burden_only: bool = False) -> DataFrame:
+    """Set tests: groups (region, marker_id, anno, optionally weight) -> rows per mask and cutoff, and one Cauchy row a
+    region. With markers to condition on there are results given them, too."""
     n = len(fit.model.y)
     g = calls.join(fit.sample_index.select("sample_id"), "sample_id", "left_semi")
     counts = qc.after_imputation(qc.allele_counts(g, calls.sparkSession.createDataFrame([(n,)], "n long")))
     filled = qc.minor_dosages(g, counts, fit.sample_index)
     members = aggregates.mask_members(joins.in_masks(groups, masks), qc.region_filter(counts, 0.15, 0, 0, 0.5), cutoffs)
-    tested = regions.test_regions(members, filled, fit.sample_index, fit.model, fit.ratios[-1], rare_mac)
-    return regions.with_cauchy(tested)
+    if "weight" in groups.columns:
+        members = members.join(groups.select("region", "marker_id", "weight"), ["region", "marker_id"])
+    block = _conditioning(fit, filled, condition) if condition else None
+    settings = regions.SetSettings(rare_mac=rare_mac, burden_only=burden_only, ratios=score.Ratios(tuple(fit.ratios), tuple(fit.ratio_edges)))
+    return regions.with_cauchy(regions.test_regions(members, filled, fit.sample_index, fit.model, settings=settings, condition=block))
+
+
+def _conditioning(fit: NullFit, dosages: DataFrame, markers: list) -> np.ndarray:
+    """Dosages (n x c) of the markers to condition on: a few columns of the samples."""
+    few = {r.marker_id: r for r in score.packed_markers(dosages.where(F.col("marker_id").isin(markers)), fit.sample_index).collect()}
+    if absent := [m for m in markers if m not in few]:
+        raise ValueError(f"conditioning markers that are absent: {absent}")
+    block = np.zeros((len(fit.model.y), len(markers)))
+    for k, m in enumerate(markers):
+        block[few[m].idx, k] = few[m].dos
+    return block
 
 
 def create_relationship_matrix(calls: DataFrame, samples: DataFrame, n_samples: int, cutoff: float = 0.125, n_markers: int = 2000) -> DataFrame:
