@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from allelia.operators import aggregates, effects, joins, nullmodel, qc, regions, relationship, score
 from allelia.plans import storage
-from allelia.sources import blocks, genotypes, text
+from allelia.sources import bcf, blocks, genotypes, text
 
 
 def between(name: str, value: float, low: float, high: float, open_low: bool = False) -> float:
@@ -94,8 +94,16 @@ class GenotypeSource:
         return samples, markers, _calls(x)
 
     def _vcf(self, spark):
-        markers, dosages = text.read_vcf(spark, self.vcf, self.field)
-        head = spark.read.text(self.vcf).where(F.col("value").startswith("#CHROM")).first().value.split("\t")[9:]
+        """Text, block-gzipped text (.gz, .bgz) or BCF; the last two are read by ranges, many tasks a file."""
+        if self.vcf.endswith(".bcf"):
+            store, _ = blocks.store_of(self.vcf)
+            file, size = blocks.files_of(self.vcf, ".bcf")[0]
+            head = bcf.header_end(blocks.ranged(store, file), size)[0].samples
+            markers, dosages = bcf.markers_and_dosages(storage.saved(bcf.read_bcf(spark, self.vcf, self.field), "bcf"))
+        else:
+            lines = bcf.read_lines(spark, self.vcf) if self.vcf.endswith(("gz", "bgz")) else spark.read.text(self.vcf)
+            markers, dosages = text.read_vcf(spark, self.vcf, self.field, lines)
+            head = lines.where(F.col("value").startswith("#CHROM")).first().value.split("\t")[9:]
         samples = spark.createDataFrame(list(zip(head, range(len(head)))), "iid string, sample_idx int")
         return samples, markers, dosages.select(F.col("column").cast("long").alias("sample_id"), "marker_id", "dosage")
 

@@ -19,7 +19,7 @@ from allelia.operators import aggregates as A
 from allelia.operators import effects, joins, nullmodel, qc, regions, relationship, score, survival
 from allelia.plans import relations, sinks, storage
 from allelia.plans.relations import Proxy
-from allelia.sources import blocks
+from allelia.sources import bcf, blocks
 from allelia.sources import genotypes as GS
 from allelia.sources import text as T
 
@@ -752,6 +752,7 @@ def genotype_files(p: Proxy, kind: str, calls: DataFrame) -> tuple[str, DataFram
     seen, gone = F.filter("x", lambda c: c["dosage"] > 0), F.filter("x", lambda c: c["dosage"].isNull())
     of = lambda own, name: F.transform(own, lambda c: c[name])
     rows = x.select((F.col("place") / size).cast("long").alias("block"), F.col("place").alias("marker_index"), of(seen, "sample_idx").alias("idx"), of(seen, "dosage").alias("dos"), of(gone, "sample_idx").alias("missing"))
+    bcf.register(p.spark)
     blocks.write(rows, f"allelia-{kind}", path, n)
     return path, idx, place, n, size
 
@@ -796,6 +797,14 @@ def s6_bgen_scan(p):
     return GS.long_form(rows, "marker_id").join(idx, "sample_idx").select("marker_id", "sample_id", "dosage")
 
 
+@query("SELECT marker_id, sample_id, dosage FROM calls", "dosage")
+def s10_bcf_scan(p):
+    """Carriers and missing calls of BCF files that hold all samples and markers, read by ranges of their blocks."""
+    path, idx, place, _, _ = genotype_files(p, "bcf", p.calls())
+    _, calls = bcf.markers_and_dosages(bcf.read_bcf(p.spark, path).withColumn("marker_id", F.col("id").cast("long")))
+    return calls.withColumnsRenamed({"marker_id": "place", "column": "sample_idx"}).join(place, "place").join(idx, "sample_idx").select("marker_id", "sample_id", "dosage")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
