@@ -16,6 +16,7 @@ Long and deeply nested pages are scanned whole; other columns are not touched.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -44,7 +45,10 @@ PRIOR_WORD = {"p": 0.9, "h1": 0.9, "h2": 0.5, "h3": 0.5, "pre": 0.7, "blockquote
 PRIOR_TAG = {"p": 0.55, "h1": 0.55, "h2": 0.55, "h3": 0.55, "h4": 0.55, "blockquote": 0.55, "pre": 0.55, "br": 0.5, "b": 0.5, "i": 0.5, "em": 0.5, "a": 0.4, "li": 0.4, "div": 0.35, "ul": 0.35}
 PRIOR_COUNT = 200.0
 
-TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<")
+#: Ordinary tags are matched here, with bounds on what is tried; the rest that begins like one goes to `TagEnds`.
+TOKEN = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]{0,99})(?=[\s/>])((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}'){0,256})>|[^<]+|<")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+EVENT = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -74,6 +78,41 @@ def is_boiler(name: str, given: dict[str, str], in_marked: bool) -> bool:
     return False
 
 
+class TagEnds:
+    """Where tags end, in time linear in the page for all its tags.
+
+    A tag ends at the first > outside of quotes, or, if a quote stays open or no such > follows, at the first > of all. Scans
+    that reach a quote, outside of quotes, from which an earlier scan found no end have none either.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.events: list[int] | None = None
+        self.hopeless: set[int] = set()
+
+    def first(self, at: int) -> int:
+        """The first > from `at` on, or -1."""
+        return -1 if at > self.last else self.source.find(">", at)
+
+    def of(self, at: int) -> int:
+        """The end of the tag whose attributes begin at `at`, or -1."""
+        if at > self.last:
+            return -1
+        if self.events is None:
+            self.events = [m.start() for m in EVENT.finditer(self.source)]
+        source, k, seen = self.source, bisect.bisect_left(self.events, at), []
+        while k < len(self.events) and (place := self.events[k]) not in self.hopeless:
+            if source[place] == ">":
+                return place
+            seen.append(place)
+            end = source.find(source[place], place + 1)
+            if end < 0:
+                break
+            k = bisect.bisect_right(self.events, end, k)
+        self.hopeless.update(seen)
+        return self.first(at)
+
+
 class Page:
     """Tokens of a page: (tag name or None, number of words, feature of the words, block or None)."""
 
@@ -85,10 +124,10 @@ class Page:
         # name, boiler, feature, marked article or -1, whether in one, index of the innermost block
         stack: list[tuple[str, bool, str, int, bool, int]] = []
         self.opened: Counter[str] = Counter()
-        pos, n = 0, len(source)
+        pos, n, ends = 0, len(source), TagEnds(source)
         while pos < n:
             m = TOKEN.match(source, pos)
-            text, pos = m[0], m.end()
+            start, text, pos = pos, m[0], m.end()
             if text == "<!--":
                 end = source.find("-->", pos)
                 pos = n if end < 0 else end + 3
@@ -99,15 +138,21 @@ class Page:
                 self._words(source[pos:end], stack, decode=False)
                 pos = min(n, end + 3)
                 continue
-            name = (m[2] or m[5] or "").lower()
+            closes, name, rest = m[1], m[2], m[3]
+            if text == "<":
+                if source.startswith(("<!", "<?"), start):
+                    if (end := ends.first(pos)) >= 0:
+                        pos = end + 1
+                        continue
+                elif (tag := TAG.match(source, start)) and (end := ends.of(tag.end())) >= 0:
+                    closes, name, rest, pos = tag[1], tag[2], source[tag.end() : end], end + 1
             if not name:
-                if not (text[0] == "<" and len(text) > 1):
-                    self._words(text, stack)
+                self._words(text, stack)
                 continue
-            if m[1] or m[4]:
+            name = name.lower()
+            if closes:
                 self._close(name, stack)
                 continue
-            rest = m[3] or m[6] or ""
             self._open(name, attributes(rest), stack)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, pos)

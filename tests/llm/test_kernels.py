@@ -389,3 +389,46 @@ def test_language_model_tells_alphabets_apart():
     m = langid.Model.fit(["en"] * 5 + ["fr"] * 5, rows, 4)
     names, scores = m.predict(["this is the house", "cette maison est la", "1234 !!", ""])
     assert names == ["en", "fr", "und", "und"] and (scores[:2] > 0.5).all() and (scores[2:] == 0).all()
+
+
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    from allelia.llm import html_extract
+
+    forms = {
+        "unclosed": lambda k: "<a " * k,
+        "open quotes": lambda k: "<a '" * k,
+        "all ends in quotes": lambda k: "<b x'>y'" * k + "'",
+        "two phases": lambda k: "<b x'>y' " * k + '"' + '<c z">w" ' * k,
+        "declarations": lambda k: "<!x" * k,
+        "one long tag": lambda k: "<a " + "y='" * k + ">t",
+        "long names": lambda k: "<" + "a" * k + " x>t",
+    }
+    for name, make in forms.items():
+        seconds = []
+        for k in (8_000, 32_000):
+            began = time.process_time()
+            html_extract.Page(make(k))
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 8 * max(seconds[0], 0.02), (name, seconds)
+    whole = html_extract.Page("<a " * 300_000 + "word")  # about 1 MB
+    assert sum(n for _, n, _, _ in whole.tokens) > 300_000
+
+
+def test_tags_end_at_the_first_mark_outside_of_quotes():
+    from allelia.llm import html_extract
+
+    long = "x" * 10_000
+    for page, want in [
+        ("<p title='a>b'>t", ["p"]),
+        (f"<p title='{long}>{long}'>t", ["p"]),
+        ("<p " + "a=b " * 500 + "c='>'>t", ["p"]),
+        ("<p title='a>t", ["p"]),
+        ("<!doctype x><?y z><p>t</p>", ["p", "/p"]),
+        ("<p <b>t", ["p"]),
+        ("a < b <3 <p>t", ["p"]),
+        ("<" + "n" * 150 + " a='>'>t", ["n" * 150]),
+        ("t <p", []),
+    ]:
+        assert [t for t, *_ in html_extract.Page(page).tokens if t] == want, page[:60]
