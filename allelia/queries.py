@@ -726,6 +726,20 @@ def e1_gene_effects(p):
     return effect
 
 
+@query(
+    """WITH o AS (SELECT sample_id, y / 1000 AS y FROM samples), x AS (SELECT region, anno, marker_id, sample_id, dosage, y FROM markers JOIN genotypes USING (marker_id) JOIN o USING (sample_id)),
+    cells AS (SELECT a.region, a.anno AS anno_a, b.anno AS anno_b, sum(a.dosage * b.dosage) AS v FROM x a JOIN x b ON a.region = b.region AND a.sample_id = b.sample_id GROUP BY a.region, a.anno, b.anno, a.marker_id, b.marker_id),
+    squares AS (SELECT region, anno_a, anno_b, sum(v * v) AS squares FROM cells GROUP BY ALL),
+    one AS (SELECT region, anno, sum(gg) AS trace, sum(gy * gy) AS outcome FROM (SELECT region, anno, marker_id, sum(dosage * dosage) AS gg, sum(dosage * y) AS gy FROM x GROUP BY ALL) GROUP BY ALL),
+    result AS (SELECT s.region, anno_a, anno_b, squares, trace, outcome FROM squares s LEFT JOIN one ON one.region = s.region AND one.anno = anno_a AND anno_a = anno_b)""",
+    "squares trace outcome",
+    digits=3,
+)
+def e3_class_moments(p):
+    """The moment systems of all genes, as aggregates."""
+    return effects.class_moments(p.markers(), p.genotypes(), p.samples().select("sample_id", (F.col("y") / 1000).alias("y")))
+
+
 @query()
 def g18_effective_size(p):
     """Of all samples, with their sparse relationship matrix (a centred dense one is singular along 1)."""
