@@ -224,8 +224,11 @@ def _diagonal(g: DataFrame, w: DataFrame, idx: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def assoc_single(fit: NullFit, calls: DataFrame, markers: DataFrame, tests: score.TestSettings | None = None, min_maf: float = 0.0, min_mac: float = 0.5, max_missing: float = 0.15, fill: str = "best_guess", condition: list | None = None) -> DataFrame:
-    """Step 2: quality control, imputation, tests of all markers; by left-out chromosome if the fit has them."""
+def assoc_single(fit: NullFit, calls: DataFrame, markers: DataFrame, tests: score.TestSettings | None = None, min_maf: float = 0.0, min_mac: float = 0.5, max_missing: float = 0.15, fill: str = "best_guess", condition: list | None = None, relationship_matrix: DataFrame | None = None, two_stage_cutoff: float = 0.05) -> DataFrame:
+    """Step 2: quality control, imputation, tests of all markers; by left-out chromosome if the fit has them.
+
+    With a sparse relationship matrix markers with p below the cutoff are tested again with it (column `stage`).
+    """
     spark, n = calls.sparkSession, len(fit.model.y)
     tests = tests or score.TestSettings(fit.model.trait)
     g = calls.join(fit.sample_index.select("sample_id"), "sample_id", "left_semi")
@@ -240,7 +243,11 @@ def assoc_single(fit: NullFit, calls: DataFrame, markers: DataFrame, tests: scor
     for chrom, model in {None: fit.model, **(fit.loco or {})}.items():  # None: chromosomes without a fit of their own
         other = ~F.col("chrom").isin(list(fit.loco)) | F.col("chrom").isNull() if fit.loco else F.lit(True)
         own = long.where(other if chrom is None else F.col("chrom") == chrom)
-        if block is None:
+        if block is None and relationship_matrix is not None:
+            related = joins.sample_pairs(relationship_matrix, fit.sample_index).toPandas()  # related pairs only
+            cells = related.row.to_numpy(), related.col.to_numpy(), related.value.to_numpy()
+            parts.append(score.tested_in_two_stages(own, fit.sample_index, model, cells, tests, ratios, ratios, two_stage_cutoff))
+        elif block is None:
             parts.append(score.tested(own, fit.sample_index, model, tests, ratios))
         else:
             packed = score.packed_markers(own, fit.sample_index)
