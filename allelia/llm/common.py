@@ -126,7 +126,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = 1 << max(12, n.bit_length())
         for key, base in (("up", BASE), ("down", BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -36,6 +36,7 @@ that share a doc_id are rows of their own. A very long text is one row with a la
 from __future__ import annotations
 
 import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,17 @@ STEP = float(np.log(1.01))
 #: Shingles of one side of a block pair.
 CELLS = 1 << 19
 NODE = np.uint64(0x7FFFFFFFFFFFFFFF)
+#: Bytes of text and shingles that a step of a task takes.
+BLOCK = 1 << 18
+HELD = 1 << 18
+#: What a counter of two bytes holds; tasks keep the rest apart.
+COUNTER = 65535
 
 
 def batch_sets(batch: pa.RecordBatch, width: int, text: int = 1):
     """(row, sorted distinct shingles) for the rows of a batch."""
     raw, off = C.text_buffers(batch.column(text))
-    for lo, hi in C.blocks(off):
+    for lo, hi in C.blocks(off, BLOCK):
         hashes, bounds = C.word_hashes(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         for k, s in enumerate(C.shingles(hashes, bounds, width)):
             yield lo + k, s
@@ -93,7 +99,8 @@ def scan(width: int):
 
     def run(batches):
         seen: set[int] = set()
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.uint16)
+        beyond: dict[int, int] = {}  # of counters that have left two bytes, what they had
         held, n_held = [], 0
 
         def flush():
@@ -101,9 +108,24 @@ def scan(width: int):
             if held:
                 own = np.sort(np.concatenate(held))
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                counts[own[first]] += np.diff(np.append(first, len(own))).astype(np.uint32)
+                slots = own[first]
+                total = counts[slots] + np.diff(np.append(first, len(own)))
+                for k in np.flatnonzero(total > COUNTER).tolist():
+                    beyond[int(slots[k])] = beyond.get(int(slots[k]), 0) + int(total[k])
+                    total[k] = 0
+                counts[slots] = total
             held, n_held = [], 0
 
+        def slices():
+            size = SLOTS // C.SLICES
+            for k, part in enumerate(np.split(counts, C.SLICES)):
+                whole = part.astype(np.uint32)
+                for slot, n in beyond.items():
+                    if slot // size == k:
+                        whole[slot % size] += n
+                if whole.any():
+                    yield k, zlib.compress(whole.tobytes(), 1)
+
         names = ["doc_id", "mark", "n", "node", "slice", "blob"]
         for b in batches:
             n, node, bits = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [None] * b.num_rows
@@ -115,11 +137,11 @@ def scan(width: int):
                         bits[row] = parity_bits(s)
                     held.append(slot_of(s).astype(np.int32))
                     n_held += len(s)
-                    if n_held > 1 << 20:
+                    if n_held > HELD:
                         flush()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(node), pa.nulls(b.num_rows, pa.int32()), pa.array(bits, pa.binary())], names=names)
         flush()
-        for part, blob in C.packed_counts(counts):
+        for part, blob in slices():
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=names)
 
     return C.released(run)

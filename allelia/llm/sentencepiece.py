@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 UNKNOWN = -2
 #: Code points of text that one suffix index takes, before the distinct segments are drawn.
-BATCH_POINTS = 500_000
+BATCH_POINTS = 250_000
 
 
 def _fields(data: bytes):

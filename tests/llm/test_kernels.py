@@ -432,3 +432,26 @@ def test_tags_end_at_the_first_mark_outside_of_quotes():
         ("t <p", []),
     ]:
         assert [t for t, *_ in html_extract.Page(page).tokens if t] == want, page[:60]
+
+
+@pytest.mark.parametrize("most", [65535, 3])
+def test_shingles_are_counted_beyond_small_counters(monkeypatch, most):
+    import zlib
+
+    from allelia.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "COUNTER", most)
+    monkeypatch.setattr(J, "HELD", 40)
+    texts = [" ".join(f"w{(k * j) % 17}" for j in range(20)) for k in range(60)] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t), pa.array(range(len(t)))], names=["doc_id", "text", "mark"]) for t in (texts[:50], texts[50:])]
+    got = np.zeros(J.SLOTS, np.int64)
+    for b in J.scan(4)(iter(batches)):
+        for k, blob in zip(b.column("slice").to_pylist(), b.column("blob").to_pylist()):
+            if k is not None:
+                size = J.SLOTS // C.SLICES
+                got[k * size : (k + 1) * size] += np.frombuffer(zlib.decompress(blob), np.uint32)
+    want = np.zeros(J.SLOTS, np.int64)
+    for b in batches:
+        for _, s in J.batch_sets(b, 4):
+            np.add.at(want, J.slot_of(s), 1)
+    assert (got == want).all() and got.max() > 100
