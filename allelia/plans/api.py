@@ -275,6 +275,25 @@ def assoc_region(fit: NullFit, calls: DataFrame, groups: DataFrame, masks: list[
     return regions.with_cauchy(regions.test_regions(members, filled, fit.sample_index, fit.model, settings=settings, condition=block))
 
 
+def assoc_single_in_group(fit: NullFit, calls: DataFrame, markers: DataFrame, groups: DataFrame, masks: list[str], cutoffs: list[float], rare_mac: float = 10.0) -> DataFrame:
+    """Single tests of the markers of sets: name, region, mask and max_maf (null for a marker) and the columns of
+    score.RESULT; rare markers by themselves, the ultra-rare ones of each set as one collapsed marker."""
+    n = len(fit.model.y)
+    g = calls.join(fit.sample_index.select("sample_id"), "sample_id", "left_semi")
+    counts = qc.after_imputation(qc.allele_counts(g, calls.sparkSession.createDataFrame([(n,)], "n long")))
+    filled = qc.minor_dosages(g, counts, fit.sample_index)
+    members = aggregates.mask_members(joins.in_masks(groups, masks), qc.region_filter(counts, 0.15, 0, 0, 0.5), cutoffs)
+    settings = regions.SetSettings(rare_mac=rare_mac, ratios=score.Ratios(tuple(fit.ratios), tuple(fit.ratio_edges)))
+    tests = score.TestSettings(fit.model.trait)
+    rare = members.where(F.col("mac") > rare_mac).select("region", "marker_id").distinct()
+    single = score.tested(filled.join(rare.select("marker_id").distinct(), "marker_id", "left_semi"), fit.sample_index, fit.model, tests, settings.ratios)
+    names = markers.select("marker_id", F.concat_ws(":", "chrom", "pos", "ref", "alt").alias("name"))
+    nothing = [F.lit(None).cast("string").alias("mask"), F.lit(None).cast("double").alias("max_maf")]
+    columns = [f.split()[0] for f in score.RESULT.split(", ") if not f.startswith("marker_id")]
+    single = single.join(rare, "marker_id").join(names, "marker_id").select("name", "region", *nothing, *columns)
+    return single.union(regions.pseudo_markers(members, filled, fit.sample_index, fit.model, tests, settings).select("name", "region", "mask", "max_maf", *columns))
+
+
 def _conditioning(fit: NullFit, dosages: DataFrame, markers: list) -> np.ndarray:
     """Dosages (n x c) of the markers to condition on: a few columns of the samples."""
     few = {r.marker_id: r for r in score.packed_markers(dosages.where(F.col("marker_id").isin(markers)), fit.sample_index).collect()}

@@ -314,8 +314,11 @@ def j10_mask_membership(p):
 
 
 # ---------------------------------------------------------------- aggregation and windows
+CASE_CONTROL = "SELECT marker_id, (SELECT count(*) FROM samples WHERE yb = 1) AS n_case, (SELECT count(*) FROM samples WHERE yb = 0) AS n_ctrl, sum(CASE WHEN yb = 1 THEN dosage ELSE 0 END) / (2 * ((SELECT count(*) FROM samples WHERE yb = 1) - count(*) FILTER (yb = 1 AND dosage IS NULL))) AS af_case, sum(CASE WHEN yb = 0 THEN dosage ELSE 0 END) / (2 * ((SELECT count(*) FROM samples WHERE yb = 0) - count(*) FILTER (yb = 0 AND dosage IS NULL))) AS af_ctrl, count(*) FILTER (yb = 1 AND dosage >= 1.5) AS hom_case, count(*) FILTER (yb = 1 AND dosage >= 0.5 AND dosage < 1.5) AS het_case, count(*) FILTER (yb = 0 AND dosage >= 1.5) AS hom_ctrl, count(*) FILTER (yb = 0 AND dosage >= 0.5 AND dosage < 1.5) AS het_ctrl FROM calls JOIN samples USING (sample_id) GROUP BY marker_id"
+
+
 @query(
-    "SELECT marker_id, (SELECT count(*) FROM samples WHERE yb = 1) AS n_case, (SELECT count(*) FROM samples WHERE yb = 0) AS n_ctrl, sum(CASE WHEN yb = 1 THEN dosage ELSE 0 END) / (2 * ((SELECT count(*) FROM samples WHERE yb = 1) - count(*) FILTER (yb = 1 AND dosage IS NULL))) AS af_case, sum(CASE WHEN yb = 0 THEN dosage ELSE 0 END) / (2 * ((SELECT count(*) FROM samples WHERE yb = 0) - count(*) FILTER (yb = 0 AND dosage IS NULL))) AS af_ctrl, count(*) FILTER (yb = 1 AND dosage >= 1.5) AS hom_case, count(*) FILTER (yb = 1 AND dosage >= 0.5 AND dosage < 1.5) AS het_case, count(*) FILTER (yb = 0 AND dosage >= 1.5) AS hom_ctrl, count(*) FILTER (yb = 0 AND dosage >= 0.5 AND dosage < 1.5) AS het_ctrl FROM calls JOIN samples USING (sample_id) GROUP BY marker_id",
+    CASE_CONTROL,
     "af_case af_ctrl",
 )
 def a3_case_control(p):
@@ -639,6 +642,17 @@ def k1_m1_single_variant_results(p):
     return sinks.single_variant(r, p.markers(), counts(p))
 
 
+@query(
+    f"WITH b AS (SELECT avg(yb) AS mean, var_samp(yb) AS v, count(*) AS n FROM samples), t AS (SELECT marker_id, (sum(dosage * yb) - sum(dosage) * any_value(mean)) / any_value(v) AS tstat, (sum(dosage * dosage) - sum(dosage) * sum(dosage) / any_value(n)) / any_value(v) AS var FROM genotypes JOIN samples USING (sample_id) CROSS JOIN b GROUP BY 1), r AS (SELECT *, tstat * tstat / var AS stat FROM t WHERE var > 0), a3 AS ({CASE_CONTROL}), result AS (SELECT chrom AS \"CHR\", pos AS \"POS\", chrom || ':' || pos || ':' || ref || ':' || alt AS \"MarkerID\", ref AS \"Allele1\", alt AS \"Allele2\", CAST(ac AS DOUBLE) AS \"AC_Allele2\", af AS \"AF_Allele2\", missing AS \"MissingRate\", tstat / var AS \"BETA\", abs(tstat / var) / sqrt(stat) AS \"SE\", tstat AS \"Tstat\", var, {S.chi2_tail_sql('stat')} AS p_value, {S.chi2_tail_sql('stat')} AS \"p_value_NA\", false AS \"Is_SPA\", af_case AS \"AF_case\", af_ctrl AS \"AF_ctrl\", n_case AS \"N_case\", n_ctrl AS \"N_ctrl\", hom_case AS \"N_case_hom\", het_case AS \"N_case_het\", hom_ctrl AS \"N_ctrl_hom\", het_ctrl AS \"N_ctrl_het\" FROM r JOIN markers USING (marker_id) JOIN counts USING (marker_id) LEFT JOIN a3 USING (marker_id))",
+    '"AC_Allele2" "AF_Allele2" "MissingRate" "BETA" "SE" "Tstat" var p_value "p_value_NA" "AF_case" "AF_ctrl"',
+    5,
+)
+def k1_binary_result_table(p):
+    """All columns of a binary outcome, of score tests without tails."""
+    r = score.centred_scores(p.genotypes(), p.samples(), p.samples().count(), "yb").withColumn("p_plain", F.col("p")).withColumn("is_spa", F.lit(False))
+    return sinks.single_variant_table(r, p.markers(), counts(p), "binary", qc.case_control(p.calls(), p.samples()), more=True)
+
+
 # ---------------------------------------------------------------- models and vectorised tests (held against numpy in tests)
 def _model_inputs(p: Proxy, trait: str):
     """All samples in id order with covariates (for survival, those that have a time): the driver's vectors
