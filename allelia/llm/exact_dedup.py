@@ -83,7 +83,7 @@ def exact_groups(docs: DataFrame, capacity: int = 4096, depth: int = MAX_DEPTH,
     mark = ["key", "mark", "n_bytes"]
     entries = entries.withColumn("mark", F.substring("sha", 1, sha_hex))
     keys = entries.groupBy("key").agg(F.lit(1).alias("one")).groupBy(slot(F.col("key"), depth).alias("slot")).count()
-    slots = directory({r["slot"]: r["count"] for r in keys.toLocalIterator()}, depth, capacity)
+    slots = directory({r["slot"]: r["count"] for r in keys.collect()}, depth, capacity)
     slots = spark.createDataFrame(slots, "slot long, bucket long, local_depth int")
 
     # owners: whole chains with their bytes
