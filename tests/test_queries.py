@@ -5,6 +5,7 @@ import pytest
 
 from allelia import queries as Q
 from allelia.plans.relations import Proxy
+from allelia.sources import blocks
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,3 +52,22 @@ def test_files_hold_all_genotypes(spark):
     vcf = [((r.sample_idx, r.marker_id), r.dosage) for r in Q.queries()["s10_vcf_scan"](spark, small).collect()]
     assert len(bed) == len(vcf) == len(g) and dict(bed) == g
     assert dict(vcf) == {(s, m[k]): d for (s, k), d in g.items()}
+
+
+def test_panel_files_grow_with_calls(spark, monkeypatch):
+    """Cells of the files are at most PANEL a call; with a cell for each sample and marker they would be many times as many."""
+    monkeypatch.setattr(Q, "PANEL", 16)
+    p = Proxy(spark, "/root/testdata/sf0.001")
+    calls = p.calls().count()
+    path, idx, place, n = Q.genotype_files(p, "bed", p.calls())
+    size = sum(size - 3 for _, size in blocks.files_of(path, ".bed"))
+    assert n == 16 and size <= 4 * calls and len(blocks.files_of(path, ".bed")) == -(-idx.count() // 16)
+    assert place.count() == place.select("place").distinct().count() == size // 4
+    want = {(r.marker_id, r.sample_id): r.dosage for r in p.calls().collect()}
+    for name in ("s5_pgen_scan", "s10_bcf_scan"):
+        got = {(r.marker_id, r.sample_id): r.dosage for r in Q.queries()[name](spark, p.sf_dir).collect()}
+        assert got == want
+    got = {(r.marker_id, r.sample_id) for r in Q.queries()["s6_bgen_scan"](spark, p.sf_dir).collect()}
+    assert got == {k for k in want if k[0] % 3}
+    vcf = Q.queries()["s10_vcf_scan"](spark, p.sf_dir)
+    assert vcf.count() == p.genotypes().count()
