@@ -135,3 +135,47 @@ def test_distributed_products_leave_chromosomes_out(spark):
     assert isinstance(far, relationship.DenseOperator) and np.allclose(far(b, left), local(b, left)) and np.allclose(far(b), local(b))
     a, c = far.diagonals(), local.diagonals()
     assert a.keys() == c.keys() == {0, 1, 2} and all(np.allclose(a[k], c[k]) for k in a)
+
+
+def test_local_products_hold_five_bytes_a_cell_and_take_bounded_pieces(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    n, m, per = 500, 3000, 100
+    marker = np.repeat(np.arange(m), per)
+    sample = np.concatenate([rng.choice(n, per, replace=False) for _ in range(m)])
+    dosage = rng.integers(1, 3, m * per).astype(float)
+    f = np.bincount(marker, dosage, m) / (2 * n)
+    w, chrom = 1 / (2 * f * (1 - f)), np.arange(m) % 3
+    monkeypatch.setattr(relationship.LocalOperator, "CELLS", 1 << 12, raising=False)
+    op = relationship.LocalOperator(marker, sample, dosage, f, w, n, chrom)
+    assert sum(x.nbytes for x in vars(op).values() if isinstance(x, np.ndarray) and len(x) == m * per) <= 5 * m * per
+    g = np.zeros((n, m))
+    g[sample, marker] = dosage
+    z, b, left = standardised(g), rng.normal(size=(n, 3)), np.array([0, 2, 1])
+    tracemalloc.start()
+    got = op(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, z @ z.T / m @ b) and peak < 8 * m * per / 4  # not a number a cell
+    assert np.allclose(op(b, left), np.column_stack([z[:, chrom != c] @ z[:, chrom != c].T / (chrom != c).sum() @ b[:, k] for k, c in enumerate(left)]))
+    mixed = rng.permutation(m * per)  # any order of cells, and dosages that are not whole
+    apart = relationship.LocalOperator(marker[mixed], sample[mixed], dosage[mixed] * 0.9, f * 0.9, w, n, chrom)
+    whole = relationship.LocalOperator(marker, sample, dosage * 0.9, f * 0.9, w, n, chrom)
+    assert np.allclose(apart(b), whole(b)) and np.allclose(apart.diagonals()[1], whole.diagonals()[1])
+
+
+def test_carriers_reach_the_driver_as_bytes_in_any_partitioning(spark):
+    rng = np.random.default_rng(8)
+    n = 30
+    g = genotypes(rng, n, 70) * 0.5  # not whole
+    g[:, ::2] *= 2  # whole
+    i, j = np.nonzero(g)
+    long = spark.createDataFrame(pd.DataFrame({"sample_id": i, "marker_id": j, "dosage": g[i, j]}))
+    idx = spark.createDataFrame([(k, k) for k in range(n)], "sample_id long, sample_idx int")
+    w = relationship.marker_weights(long, n)
+    one, many = (relationship.kinship_operator(long.repartition(k), idx, n, w) for k in (1, 7))
+    z, b = standardised(g), rng.normal(size=(n, 2))
+    assert np.allclose(one(b), z @ z.T / z.shape[1] @ b) and (one(b) == many(b)).all()
+    nothing = relationship.kinship_operator(long.where("dosage > 9"), idx, n, w.where("f > 9"))
+    assert (nothing(b) == 0).all()
