@@ -26,10 +26,14 @@ def required(wanted: DataFrame, available: DataFrame, key: str) -> DataFrame:
 
 
 def by_either_id(groups: DataFrame, markers: DataFrame) -> DataFrame:
-    """Groups (region, snp, anno) with markers (id, id2, ...), matched by id or, failing that, by id2."""
-    m = markers.withColumnRenamed("marker_id", "mid")
-    ids = m.select("id", "mid", "chrom", "pos", F.lit(1).alias("rank")).union(m.select("id2", "mid", "chrom", "pos", F.lit(2).alias("rank")))
-    x = groups.join(ids, F.col("snp") == F.col("id"))
+    """Groups (region, snp, anno) with markers (id, id2, ...), matched by id or, failing that, by id2.
+
+    The sides are shuffled: the size that the optimiser takes for ids put together from a file's columns is that of the
+    columns as they lie there, a small part of what a broadcast of them would hold.
+    """
+    both = F.array(*[F.struct(F.col(c).alias("id"), F.lit(k).alias("rank")) for k, c in ((1, "id"), (2, "id2"))])
+    ids = markers.select(F.explode(both).alias("i"), F.col("marker_id").alias("mid"), "chrom", "pos").select("i.id", "mid", "chrom", "pos", "i.rank")
+    x = groups.join(ids.hint("merge"), F.col("snp") == F.col("id"))
     best = x.groupBy("region", "snp", "anno").agg(F.min(F.struct("rank", "mid", "chrom", "pos")).alias("b"))
     return best.select("region", "snp", "anno", F.col("b.mid").alias("marker_id"), F.col("b.chrom").alias("chrom"), F.col("b.pos").alias("pos"))
 

@@ -71,3 +71,17 @@ def test_panel_files_grow_with_calls(spark, monkeypatch):
     assert got == {k for k in want if k[0] % 3}
     vcf = Q.queries()["s10_vcf_scan"](spark, p.sf_dir)
     assert vcf.count() == p.genotypes().count()
+
+
+def test_ids_that_are_put_together_are_not_broadcast(spark, tmp_path):
+    """The file of a column of numbers is small; the ids made of them are not."""
+    from allelia.operators import joins
+
+    spark.range(1000).selectExpr("id as marker_id", "id as pos", "1 as chrom").write.parquet(str(tmp_path / "m"))
+    m = spark.read.parquet(str(tmp_path / "m")).selectExpr("*", "concat('a', pos) as id", "concat('b', pos) as id2")
+    groups = spark.createDataFrame([("g", "a7", "lof"), ("g", "b8", "lof"), ("h", "b7", "lof"), ("h", "x", "lof")], "region string, snp string, anno string")
+    out = joins.by_either_id(groups, m)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.select("region", "snp", "marker_id", "chrom", "pos").collect()} == {("g", "a7", 7, 1, 7), ("g", "b8", 8, 1, 8), ("h", "b7", 7, 1, 7)}
+    twice = m.union(m.selectExpr("marker_id + 5000", "pos", "chrom", "id2", "id"))  # id before id2, then the smaller marker
+    assert {(r.snp, r.marker_id) for r in joins.by_either_id(groups, twice).collect()} == {("a7", 7), ("b8", 5008), ("b7", 5007)}
