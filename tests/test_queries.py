@@ -85,3 +85,23 @@ def test_ids_that_are_put_together_are_not_broadcast(spark, tmp_path):
     assert {tuple(r) for r in out.select("region", "snp", "marker_id", "chrom", "pos").collect()} == {("g", "a7", 7, 1, 7), ("g", "b8", 8, 1, 8), ("h", "b7", 7, 1, 7)}
     twice = m.union(m.selectExpr("marker_id + 5000", "pos", "chrom", "id2", "id"))  # id before id2, then the smaller marker
     assert {(r.snp, r.marker_id) for r in joins.by_either_id(groups, twice).collect()} == {("a7", 7), ("b8", 5008), ("b7", 5007)}
+
+
+def test_effective_size_takes_related_samples_alone_to_the_driver(spark, monkeypatch):
+    """Families of two and three among many samples without relatives: 1' K^-1 1, and only the families reach the solver."""
+    n = 60
+    k = np.diag(1 + np.arange(n) / n)
+    for i, j, v in [(3, 7, 0.25), (20, 21, 0.5), (20, 40, 0.3)]:
+        k[i, j] = k[j, i] = v
+    matrix = spark.createDataFrame([(int(i * 10), int(j * 10), float(k[i, j])) for i, j in zip(*np.nonzero(k))], "i long, j long, value double")
+    seen = []
+    whole = Q.nullmodel.effective_size
+    monkeypatch.setattr(Q.nullmodel, "effective_size", lambda op, d, *a: seen.append(len(d)) or whole(op, d, *a))
+    assert abs(Q.effective_size(matrix) - np.ones(n) @ np.linalg.solve(k, np.ones(n))) < 1e-6 and seen == [5]
+    assert abs(Q.effective_size(matrix.where("i = j")) - (1 / np.diag(k)).sum()) < 1e-9 and seen == [5]
+
+
+def test_refined_pairs_scan_the_tables_once(spark):
+    """What the screen and the refinement scan again and again are saved tables, so lineitem is in no later plan."""
+    out = Q.queries()["g7_g8_refined_pairs"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in out.inputFiles())
