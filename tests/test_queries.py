@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from allelia import queries as Q
+from allelia.operators import nullmodel
 from allelia.plans.relations import Proxy
 from allelia.sources import blocks
 
@@ -20,6 +21,21 @@ def test_models_take_in_all_samples(spark, trait):
     assert len(x) == len(y) == idx.count() == len(ids)
 
 
+@pytest.mark.parametrize("trait", ["quantitative", "binary"])
+def test_models_are_fitted_with_the_methods_own_settings(spark, monkeypatch, trait):
+    """All random vectors, the cutoff of their variation and all steps: no query lowers them."""
+    seen, fit = [], nullmodel.fit
+
+    def watched(operator, diagonal, x, y, ids, trait, settings=nullmodel.Settings(), **more):
+        seen.append(settings)
+        return fit(operator, diagonal, x, y, ids, trait, settings, **more)
+
+    monkeypatch.setattr(nullmodel, "fit", watched)
+    m, *_ = Q.fitted(Proxy(spark, SF), trait)
+    assert seen == [nullmodel.Settings()] and (seen[0].n_vectors, seen[0].cv_cutoff, seen[0].max_iter) == (30, 0.0025, 20)
+    assert m.converged or m.tau[1] == 0
+
+
 def test_effective_size_is_of_all_samples(spark):
     n = Proxy(spark, SF).samples().count()
     assert Q.queries()["g18_effective_size"](spark, SF).first().n_eff > n / 2 > 400
