@@ -179,3 +179,38 @@ def test_carriers_reach_the_driver_as_bytes_in_any_partitioning(spark):
     assert np.allclose(one(b), z @ z.T / z.shape[1] @ b) and (one(b) == many(b)).all()
     nothing = relationship.kinship_operator(long.where("dosage > 9"), idx, n, w.where("f > 9"))
     assert (nothing(b) == 0).all()
+
+
+def test_fits_by_columns_on_executors_equal_those_on_the_driver(spark, monkeypatch):
+    """Solutions, traces and variance ratios come from tasks that hold the cells, in memory or in a file; several tasks at once."""
+    rng = np.random.default_rng(9)
+    n = 60
+    g = genotypes(rng, n, 90)
+    i, j = np.nonzero(g)
+    long = spark.createDataFrame(pd.DataFrame({"sample_id": i, "marker_id": j, "dosage": g[i, j]})).repartition(5)
+    placed = long.withColumn("sample_idx", long.sample_id)
+    near, far = (relationship.operator_of(relationship.packed_placed(placed, n), n, cells) for cells in (10**9, 0))
+    w = relationship.marker_weights(long, n)
+    idx = spark.createDataFrame([(k, k) for k in range(n)], "sample_id long, sample_idx int")
+    b = rng.normal(size=(n, 5))
+    assert np.allclose(near(b), relationship.kinship_operator(long, idx, n, w, 10**9)(b)) and np.allclose(far(b), near(b))
+    d = near.diagonal()
+    assert np.allclose(d, np.diag(near(np.eye(n)))) and np.allclose(far.diagonal(), d)
+    assert np.allclose(nullmodel.conjugate_gradients(far, (0.6, 0.9), d + 1, b, d, 1e-16), nullmodel.conjugate_gradients(near, (0.6, 0.9), d + 1, b, d, 1e-16))
+    tasks = far.mapped(lambda op, payload, shared: __import__("pyspark").TaskContext.get().partitionId(), [None] * 4)
+    assert len(set(tasks)) == 4  # side by side
+    x, y = np.column_stack([np.ones(n), rng.normal(size=n)]), rng.normal(size=n)
+    settings = nullmodel.Settings(tol_pcg=1e-16)
+    for trait, outcome in (("quantitative", y), ("binary", (y > 0).astype(float))):
+        a, c = (nullmodel.fit(op, d, x, outcome, list(range(n)), trait, settings) for op in (near, far))
+        assert np.allclose(a.tau, c.tau, rtol=1e-6, atol=1e-9) and np.allclose(a.eta, c.eta, atol=1e-6) and a.converged == c.converged
+        r, t = (nullmodel.variance_ratio(op, d, a, g[:, :3].astype(np.float32), settings) for op in (near, far))
+        assert np.allclose(r, t)
+    rows = [r.asDict() for r in far.rows.collect()]
+
+    class Batch:
+        to_pylist = staticmethod(lambda: rows)
+
+    monkeypatch.setattr(relationship._ReadCells, "HELD", 50)
+    spilled = relationship._ReadCells([Batch], n)
+    assert spilled.file is not None and np.allclose(spilled(b), near(b))
