@@ -206,6 +206,16 @@ def test_fits_by_columns_on_executors_equal_those_on_the_driver(spark, monkeypat
         assert np.allclose(a.tau, c.tau, rtol=1e-6, atol=1e-9) and np.allclose(a.eta, c.eta, atol=1e-6) and a.converged == c.converged
         r, t = (nullmodel.variance_ratio(op, d, a, g[:, :3].astype(np.float32), settings) for op in (near, far))
         assert np.allclose(r, t)
+    jobs, mapped = [], type(far).mapped
+    monkeypatch.setattr(type(far), "mapped", lambda self, f, *more: jobs.append(f.__name__) or mapped(self, f, *more))
+    spectra = nullmodel.Spectra(far, list(range(n)), n, settings)
+    k = near(np.eye(n))
+    for tau in ((1.0, 0.0), (0.9, 0.8), (1.0, 0.01)):  # one scan of the markers serves shifts that need no more steps
+        for run, (t, t0, plus) in enumerate(spectra.sums(tau, [0, 1])):
+            u = nullmodel.random_signs(list(range(n)), run, settings.seed)
+            inverse = np.linalg.inv(tau[1] * k + tau[0] * np.eye(n))
+            assert (plus * 2.0 - 1 == u).all() and t == pytest.approx(u @ k @ inverse @ u, rel=1e-6) and t0 == pytest.approx(u @ inverse @ u, rel=1e-6)
+    assert jobs == ["_column_spectrum"] * len(jobs) and len(jobs) <= 2
     rows = [r.asDict() for r in far.rows.collect()]
 
     class Batch:
